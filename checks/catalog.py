@@ -31,7 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None = None, digits: int = 4):
+def query(sql: str | None = None, digits: int = 6):
     """Register a query under its function name; doubles are rounded for comparison."""
     def register(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ def query(sql: str | None = None, digits: int = 4):
     return register
 
 
-def tidy(df: DataFrame, digits: int = 4) -> DataFrame:
+def tidy(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[
         F.round(F.col(f"`{f.name}`"), digits).alias(f.name) if isinstance(f.dataType, T.DoubleType)
         else F.col(f"`{f.name}`") for f in df.schema.fields])
@@ -331,7 +331,7 @@ def ordinal_positions(spark, sf_dir):
 
 @query(f"""SELECT o_custkey, {rnd('total', 'total')}, CAST(row_number() OVER (
     ORDER BY total DESC, o_custkey) AS INTEGER) AS rank
-  FROM (SELECT o_custkey, sum(o_totalprice) AS total FROM orders GROUP BY 1)""", digits=4)
+  FROM (SELECT o_custkey, sum(o_totalprice) AS total FROM orders GROUP BY 1)""")
 def category_ranks(spark, sf_dir):
     return ordered.rank_categories(testbed.table(spark, sf_dir, "orders"), "o_custkey", "o_totalprice")
 
@@ -548,7 +548,7 @@ def human_exceedances(spark, sf_dir):
         "parameter", "date", "stream", "locator", "rvalue")
 
 
-def _rates_sql(keys: str, source: str = "crit", digits: int = 4) -> str:
+def _rates_sql(keys: str, source: str = "crit", digits: int = 6) -> str:
     cols = []
     for k in criteria.KINDS:
         n = f"CAST(count_if(mdl < {k} OR NOT below_mdl) AS BIGINT)"
@@ -727,12 +727,12 @@ def baseline_points(spark, sf_dir):
 
 # --- trends -----------------------------------------------------------------------------------
 
-TREND_OUT = f"""{rnd('slope', 'slope')}, {rnd('intercept', 'intercept', 3)}, {rnd('tau', 'tau')},
+TREND_OUT = f"""{rnd('slope', 'slope')}, {rnd('intercept', 'intercept', 5)}, {rnd('tau', 'tau')},
   {rnd('p', 'p')}, n"""
 
 
 def _trend_columns(df: DataFrame, keys) -> DataFrame:
-    return df.select(*keys, "slope", F.round("intercept", 3).alias("intercept"), "tau", "p", "n")
+    return df.select(*keys, "slope", F.round("intercept", 5).alias("intercept"), "tau", "p", "n")
 
 
 @query(f"SELECT parameter, stream, {TREND_OUT} FROM trend")
@@ -813,7 +813,7 @@ def regression_facets(spark, sf_dir):
 
 
 @query(f"""SELECT parameter, stream, {rnd('x_min + 0.1 * i', 'x')},
-  {rnd('(x_min + 0.1 * i) * slope + intercept', 'y', 3)} FROM (SELECT * FROM trend WHERE p < 0.5)
+  {rnd('(x_min + 0.1 * i) * slope + intercept', 'y', 5)} FROM (SELECT * FROM trend WHERE p < 0.5)
   JOIN (SELECT parameter, min(year)::DOUBLE AS x_min, max(year)::DOUBLE AS x_max {FACETS} GROUP BY 1)
   USING (parameter), range(0, 2000) r(i) WHERE i <= floor((x_max - x_min) / 0.1 + 1e-10)""")
 def regression_grid(spark, sf_dir):
@@ -821,7 +821,7 @@ def regression_grid(spark, sf_dir):
     bounds = trend.regression_facets(S.storm(spark, sf_dir), kept, "year", "rvalue").select(
         "parameter", "x_min", "x_max").distinct()
     grid = trend.regression_grid(kept, bounds)
-    return grid.withColumn("y", F.round("y", 3))
+    return grid.withColumn("y", F.round("y", 5))
 
 
 @query(f"""WITH d AS (SELECT *, log10(nullif(hardness, 0)) AS lx, log10(nullif(rvalue, 0)) AS ly FROM storm

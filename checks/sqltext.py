@@ -12,7 +12,7 @@ from lodestat.functions.numbers import (
 from lodestat.operators.criteria import CRITERIA
 
 
-def rnd(expr: str, name: str, digits: int = 4) -> str:
+def rnd(expr: str, name: str, digits: int = 6) -> str:
     return f"ROUND(CAST({expr} AS DOUBLE), {digits}) + 0.0 AS {name}"
 
 
