@@ -217,7 +217,7 @@ def trend_ctes(o: str, src: str, x: str, value: str, keys: str) -> dict[str, str
             FROM {o}_t LEFT JOIN {o}_s USING ({keys}) JOIN {o}_x a USING ({keys})
             JOIN {o}_y b USING ({keys})""",
         o: f"""SELECT {keys}, slope, median AS intercept, s0 / nullif(n*(n-1)/2, 0) AS tau,
-              least(2 * (1 - {norm_cdf('z')}), 1.0) AS p, CAST(n AS BIGINT) AS n
+              CASE WHEN z IS NOT NULL THEN least(2 * (1 - {norm_cdf('z')}), 1.0) END AS p, CAST(n AS BIGINT) AS n
             FROM {o}_z LEFT JOIN (SELECT {keys}, median FROM {o}_m) m USING ({keys})""",
     }
 

@@ -9,6 +9,9 @@ from lodestat.functions import ratio, safe_log10
 from lodestat.operators.ordered import running_totals
 from lodestat.operators.relate import full_join
 
+# Probabilities are sums of logarithms; one half is met up to this.
+SLACK = 1e-9
+
 
 def km_points(points: DataFrame, keys, value: str = "cvalue") -> DataFrame:
     """Distribution steps from (keys, value, detects, censored) counts.
@@ -35,17 +38,16 @@ def km_from_points(points: DataFrame, keys, value: str = "cvalue") -> DataFrame:
     """Mean, median, SD and counts per group from weighted (value, detects, censored) points."""
     steps = km_points(points, keys, value)
     v, mass = F.col(value), F.col("_mass")
-    near_half = F.lit(0.5 - 1e-12)
     sums = steps.groupBy(*keys).agg(
         F.sum(v * mass).alias("_m1"), F.sum(v * v * mass).alias("_m2"),
         F.min(v).alias("_least"), F.max("_rest").alias("_rest"),
-        F.min(F.when((F.col("detects") > 0) & (F.col("_cdf") >= near_half), v)).alias("_med"),
+        F.min(F.when((F.col("detects") > 0) & (F.col("_cdf") >= 0.5 - SLACK), v)).alias("_med"),
         F.sum("detects").alias("_d"), F.sum("censored").alias("_c"))
     mean = F.col("_m1") + F.col("_rest") * F.col("_least")
     second = F.col("_m2") + F.col("_rest") * F.col("_least") * F.col("_least")
     return sums.withColumn("mean", mean).select(
         *keys, "mean",
-        F.when(F.col("_rest") <= near_half + 1e-12, F.col("_med")).alias("median"),
+        F.when(F.col("_rest") <= 0.5 + SLACK, F.col("_med")).alias("median"),
         F.sqrt(F.greatest(second - F.col("mean") * F.col("mean"), F.lit(0.0))).alias("sd"),
         (F.col("_d") + F.col("_c")).alias("n"), F.col("_c").alias("n_censored"),
         (F.col("_d") == 0).alias("all_censored"))

@@ -243,13 +243,14 @@ def censored_trend(df: DataFrame, x: str = "year", keys=("parameter", "stream"),
                                    9 * n * (n - 1) * (n - 2)), F.lit(0.0))
                 + F.coalesce(ratio(F.col("_twox") * F.col("_twoy"), 2 * n * (n - 1)), F.lit(0.0)))
     tested = attach(attach(slopes, ties, keys), medians, keys).withColumns({
-        "_sd": F.sqrt(F.when(variance > 0, variance))})
+        "_sd": F.sqrt(F.when(variance > 1e-12 * n * n * n, variance))})
     size = F.greatest(F.abs(F.col("s_zero")) - 1, F.lit(0.0))
     return tested.select(
         *keys, "slope", "intercept", ratio(F.col("s_zero"), n * (n - 1) / 2).alias("tau"),
         ratio(size, F.col("_sd")).alias("_z"), n.cast("long").alias("n"),
     ).select(*keys, "slope", "intercept", "tau",
-             F.least(2 * (1 - norm_cdf(F.col("_z"))), F.lit(1.0)).alias("p"), "n")
+             F.when(F.col("_z").isNotNull(),
+                    F.least(2 * (1 - norm_cdf(F.col("_z"))), F.lit(1.0))).alias("p"), "n")
 
 
 def significant_trends(trends: DataFrame, alpha: float = 0.05, falling: bool = False) -> DataFrame:
