@@ -408,7 +408,7 @@ def audit_fractions(spark, sf_dir):
   {rnd('value', 'value', 7)}, {rnd('mdl', 'mdl', 7)}, {rnd('rdl', 'rdl', 7)}, {rnd('hardness', 'hardness', 7)}
   FROM reps""", digits=7)
 def average_replicates(spark, sf_dir):
-    return S.replicates(spark, sf_dir).select(
+    return S.fresh_replicates(spark, sf_dir).select(
         "date", "locator", "stream", "parameter", "routine", "sample", "qual", "below_mdl",
         "textvalue", "value", "mdl", "rdl", "hardness")
 

@@ -37,11 +37,15 @@ def staged(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], Data
     return spark.read.parquet(path)
 
 
-def replicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fresh_replicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return censor.average_replicates(censor.flag_censored(testbed.measurements(spark, sf_dir)),
                                      ["sample", "textvalue", "hardness", "qual"])
 
 
+def replicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return staged(spark, sf_dir, "replicates", lambda: fresh_replicates(spark, sf_dir))
+
+
 def pooled_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measurements whose sample is the stream and day of collection, so parameters meet."""
     df = testbed.measurements(spark, sf_dir)

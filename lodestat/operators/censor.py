@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from lodestat.functions import count_distinct_with_null, detect, r_not_isin, ratio
 from lodestat.operators.ordered import group_median, running_totals
-from lodestat.operators.relate import anti, attach, semi
+from lodestat.operators.relate import anti, attach, attach_stats, semi
+from lodestat.sources.files import stored
 
 # Streams outside the core area with only a few samples.
 SPARSE_STREAMS = [
@@ -78,7 +79,7 @@ def all_nondetect_parameters(df: DataFrame) -> DataFrame:
 
 def split_all_nondetect(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows of parameters with detects, rows of fully censored parameters with MDL/2)."""
-    hidden = all_nondetect_parameters(df)
+    hidden = stored(all_nondetect_parameters(df))
     half = F.col("mdl") / 2
     return anti(df, hidden, ["parameter"]), semi(df, hidden, ["parameter"]).withColumns(
         {"replacement": half, "rvalue": half, "rvqual": F.lit("AllNonDetect")})
@@ -96,7 +97,7 @@ def substitute_40pct(df: DataFrame, keys=("stream", "parameter", "mdl"),
         F.count(F.lit(1)).alias("_rows"), F.count_if("below_mdl").alias("_below"))
     few = ratio(F.col("_below"), F.col("_rows")) < 0.4
     below = F.col("below_mdl")
-    joined = attach(df, counts, list(keys))
+    joined = attach_stats(df, counts, list(keys))
     return joined.withColumns({
         "replacement": F.when(below, _forty_percent(F.col("mdl"), F.col("_below"), F.col("_rows"))),
         "rvqual": F.when(below, F.concat(F.lit(qualifier + ", "),
@@ -118,10 +119,11 @@ def replacement_levels(df: DataFrame, keys=("stream",), parameter: str = "parame
     below, value = F.col("below_mdl"), F.col("value")
     # One pass over the rows: a detect with a value matters from the first limit above both
     # its value and its own limit.
-    cells = df.groupBy(*group, "mdl", F.when(~below, F.greatest("mdl", value)).alias("_from")).agg(
+    cells = stored(df.groupBy(
+        *group, "mdl", F.when(~below, F.greatest("mdl", value)).alias("_from")).agg(
         F.count(F.lit(1)).alias("_rows"), F.count_if(below).alias("_below"),
         F.count(F.when(~below, value)).alias("_n"), F.sum(F.when(~below, value)).alias("_sum"),
-        F.max(value).alias("_top"))
+        F.max(value).alias("_top")))
     tops = cells.groupBy(*group).agg(F.max("_top").alias("_group_top"))
     lowest = cells.groupBy(parameter).agg(
         F.min("mdl").alias("_lowest"), F.sum(F.col("_rows") - F.col("_below")).alias("_detects"),
@@ -183,7 +185,7 @@ def replace_nondetects(df: DataFrame, keys=("stream",)) -> DataFrame:
     Parameters without any detect are left out, as are rows without a detection limit.
     """
     group = [*keys, "parameter"]
-    levels = replacement_levels(df, keys)
+    levels = stored(replacement_levels(df, keys))
     below = F.col("below_mdl")
     return df.join(levels, [*group, "mdl"]).withColumns({
         "replacement": F.when(below, F.col("replacement")),
@@ -202,7 +204,7 @@ def flip_values(df: DataFrame, keys) -> DataFrame:
     top = F.greatest(F.max("value"), F.max("mdl")) + 10
     tops = df.groupBy(*keys).agg(top.alias("_flip"))
     shown = F.when(F.col("below_mdl"), F.col("mdl")).otherwise(F.col("value"))
-    return attach(df, tops, list(keys)).withColumns(
+    return attach_stats(df, tops, list(keys)).withColumns(
         {"flip_value": F.col("_flip") - shown, "event": ~F.col("below_mdl")}).drop("_flip")
 
 
@@ -240,7 +242,7 @@ def rare_detect_parameters(df: DataFrame, above: float = 66.0) -> DataFrame:
 
 def rare_detects(df: DataFrame, above: float = 66.0) -> DataFrame:
     """Valued rows of parameters that are mostly below the limit."""
-    return semi(df.filter(F.col("value").isNotNull()), rare_detect_parameters(df, above),
+    return semi(df.filter(F.col("value").isNotNull()), stored(rare_detect_parameters(df, above)),
                 ["parameter"])
 
 

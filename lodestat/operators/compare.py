@@ -14,7 +14,7 @@ from lodestat.functions import (
     shift_months,
 )
 from lodestat.operators.ordered import running_totals
-from lodestat.operators.relate import anti, attach, bind_rows, semi
+from lodestat.operators.relate import anti, attach_stats, bind_rows, semi
 from lodestat.sources.files import stored
 
 STORM, BASE = "wet weather", "Routine"
@@ -130,6 +130,7 @@ def flag_significant(tests: DataFrame, level: DataFrame, alpha: float = 0.05) ->
 def gehan_by_stream(df: DataFrame, overall: DataFrame) -> DataFrame:
     """Per-stream tests; the level counts only parameters significant overall."""
     tests = gehan_test(df, ["stream", "parameter"])
+    tests = stored(tests)
     significant = overall.filter("sig").select("parameter")
     counted = semi(tests.filter(F.col("p").isNotNull()), significant, ["parameter"])
     level = sidak_level(counted, F.col("mean_wet") > F.col("mean_routine"))
@@ -154,5 +155,5 @@ def baseline_points(df: DataFrame, parameter: str | None = None) -> DataFrame:
     """Points of the baseline comparison with the axis maximum of each parameter."""
     rows = df if parameter is None else df.filter(F.col("parameter") == parameter)
     tops = rows.groupBy("parameter").agg((F.max("rvalue") * 1.05).alias("y_max"))
-    return attach(rows, tops, ["parameter"]).select(
+    return attach_stats(rows, tops, ["parameter"]).select(
         "parameter", "stream", "date", "routine", "below_mdl", "mdl", "rvalue", "y_max")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from lodestat.functions import r_isin, r_not_isin, ratio, round_half_even, safe_ln
 from lodestat.operators.ordered import exact_quantiles
-from lodestat.operators.relate import attach, semi
+from lodestat.operators.relate import attach, attach_stats, semi
+from lodestat.sources.files import stored
 
 KINDS = ("acute", "chronic", "water")
 
@@ -155,12 +156,12 @@ def criteria_points(df: DataFrame, mode: str = "aquatic", parameter: str | None
     rows = rows.withColumns({
         "prop1": prop1, "prop2": prop2,
         "above_criteria": ~below & F.coalesce((prop1 > 1) | (prop2 > 1), F.lit(False))})
-    shown = semi(rows, rows.filter("above_criteria").select("parameter", "stream").distinct(),
+    shown = semi(rows, stored(rows.filter("above_criteria").select("parameter", "stream").distinct()),
                  ["parameter", "stream"])
     axes = shown.groupBy("parameter").agg(
         (F.max("rvalue") * 1.1).alias("y_max"),
         F.least(F.min("rvalue") * 0.9, F.min("crit2") * 0.9).alias("y_min"))
-    return attach(shown, axes, ["parameter"])
+    return attach_stats(shown, axes, ["parameter"])
 
 
 def report_table(name: str, df: DataFrame) -> DataFrame:

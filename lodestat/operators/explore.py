@@ -18,17 +18,18 @@ from lodestat.functions import (
 from lodestat.operators.ordered import (
     alphabetical_rank,
     exact_quantiles,
+    group_median,
     ordinal_positions,
     rank_categories,
 )
-from lodestat.operators.ordered import group_median
-from lodestat.operators.relate import attach, bind_rows
+from lodestat.operators.relate import attach, attach_stats, bind_rows
+from lodestat.sources.files import stored
 
 
 def zscore(df: DataFrame, by, value: str, name: str = "scaled") -> DataFrame:
     """Value centred and divided by the sample SD of its group; null for a constant group."""
     stats = df.groupBy(*by).agg(F.avg(value).alias("_m"), F.stddev_samp(value).alias("_s"))
-    return attach(df, stats, list(by)).withColumn(
+    return attach_stats(df, stats, list(by)).withColumn(
         name, ratio(F.col(value) - F.col("_m"), F.col("_s"))).drop("_m", "_s")
 
 
@@ -36,7 +37,7 @@ def minmax(df: DataFrame, by, value: str, name: str = "scaled") -> DataFrame:
     """Value mapped to [0, 1] within its group; 0.5 for a constant group."""
     ends = df.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
     lo, hi = F.col("_lo"), F.col("_hi")
-    return attach(df, ends, list(by)).withColumn(
+    return attach_stats(df, ends, list(by)).withColumn(
         name, F.when(F.col(value).isNull(), F.lit(None)).when(hi == lo, F.lit(0.5))
         .otherwise(ratio(F.col(value) - lo, hi - lo))).drop("_lo", "_hi")
 
@@ -45,7 +46,7 @@ def ratio_to_group_mean(df: DataFrame, by=("parameter",), value: str = "grand_me
                         name: str = "scaled") -> DataFrame:
     """Value relative to the mean of its group."""
     means = df.groupBy(*by).agg(F.avg(value).alias("group_mean"))
-    return attach(df, means, list(by)).withColumn(name, ratio(F.col(value), F.col("group_mean")))
+    return attach_stats(df, means, list(by)).withColumn(name, ratio(F.col(value), F.col("group_mean")))
 
 
 def heatmap_cells(df: DataFrame, x: str = "stream", y: str = "parameter", value: str = "value",
@@ -65,6 +66,7 @@ def heatmap_cells(df: DataFrame, x: str = "stream", y: str = "parameter", value:
     elif method == "rescale":
         cells = minmax(cells, ["y"], "value", "value").filter(
             F.col("value").isNotNull() | F.col("grey"))
+    cells = stored(cells)
     for axis, reorder in (("x", reorder_x), ("y", reorder_y)):
         name = f"{axis}_rank"
         ranks = (rank_categories(cells, axis, "value", name) if reorder
@@ -104,7 +106,7 @@ def box_stats(df: DataFrame, keys, value: str, log: bool = False) -> DataFrame:
     q = exact_quantiles(rows, keys, "_v", {"q1": 0.25, "median": 0.5, "q3": 0.75})
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = (F.col("_v") >= F.col("q1") - reach) & (F.col("_v") <= F.col("q3") + reach)
-    return attach(rows, q, keys).groupBy(*keys).agg(
+    return attach_stats(rows, q, keys).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.max("q1").alias("q1"), F.max("median").alias("median"),
         F.max("q3").alias("q3"), F.min(F.when(inside, F.col("_v"))).alias("lower"),
         F.max(F.when(inside, F.col("_v"))).alias("upper"), F.count_if(~inside).alias("outliers"))
@@ -115,7 +117,7 @@ def box_outliers(df: DataFrame, keys, value: str) -> DataFrame:
     keys = list(keys)
     q = exact_quantiles(df, keys, value, {"_q1": 0.25, "_q3": 0.75})
     reach = 1.5 * (F.col("_q3") - F.col("_q1"))
-    return attach(df, q, keys).filter(
+    return attach_stats(df, q, keys).filter(
         (F.col(value) < F.col("_q1") - reach) | (F.col(value) > F.col("_q3") + reach)
     ).drop("_q1", "_q3")
 

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestat.sources.files import stored
+
 
 def _matched(left: DataFrame, right: DataFrame, keys, how: str, keep=None) -> DataFrame:
     """Join on keys where null matches null; right keys are renamed away."""
@@ -23,6 +25,15 @@ def attach(left: DataFrame, right: DataFrame, keys, how: str = "left") -> DataFr
     return joined.drop(*[f"_r_{k}" for k in keys])
 
 
+def attach_stats(df: DataFrame, stats: DataFrame, keys, how: str = "left") -> DataFrame:
+    """Put group statistics beside rows.
+
+    The statistics are written first, so that their size is known when the join is planned and
+    the rows are not shuffled to meet a small table.
+    """
+    return attach(df, stored(stats), keys, how)
+
+
 def full_join(left: DataFrame, right: DataFrame, keys) -> DataFrame:
     """Full outer join on shared keys, keys taken from whichever side has the row."""
     joined = _matched(left.withColumn("_in_left", F.lit(True)), right, keys, "full")

@@ -18,7 +18,7 @@ from lodestat.functions import (
     t_quantile,
 )
 from lodestat.operators.ordered import ordinal_positions, running_totals
-from lodestat.operators.relate import attach, semi
+from lodestat.operators.relate import attach, attach_stats, semi
 from lodestat.operators.survival import km_from_points
 from lodestat.sources.files import stored
 
@@ -33,7 +33,7 @@ def eligible(df: DataFrame, keys, column: str, min_n: int = 3, distinct: bool =
     c = F.col(column)
     size = count_distinct_with_null(c) if distinct else F.count(c)
     kept = df.groupBy(*keys).agg(size.alias("_size")).filter(F.col("_size") >= min_n)
-    return semi(df, kept, list(keys))
+    return semi(df, stored(kept), list(keys))
 
 
 def _dyadic(rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -285,11 +285,11 @@ def proportional_change(trends: DataFrame, km: DataFrame, keys=("stream", "param
 def regression_facets(df: DataFrame, trends: DataFrame, x: str, y: str,
                       keys=("parameter", "stream")) -> DataFrame:
     """Points of the streams that have a regression, with the bounds of each parameter."""
-    shown = semi(df, trends, list(keys))
+    shown = semi(df, stored(trends.select(*keys)), list(keys))
     bounds = shown.groupBy("parameter").agg(
         F.min(x).cast("double").alias("x_min"), F.max(x).cast("double").alias("x_max"),
         (F.max(y) * 1.1).alias("y_max"))
-    return attach(shown, bounds, ["parameter"])
+    return attach_stats(shown, bounds, ["parameter"])
 
 
 def regression_grid(trends: DataFrame, bounds: DataFrame, by: float = 0.1) -> DataFrame:
@@ -314,7 +314,7 @@ def loglog_regression(df: DataFrame, x: str, y: str, keys, level: float = 0.9) -
     residual = F.greatest(F.col("_syy") - ratio(F.col("_sxy") * F.col("_sxy"), F.col("_sxx")),
                           F.lit(0.0))
     fits = fits.withColumn("_s2", F.when(F.col("_n") > 2, ratio(residual, F.col("_n") - 2)))
-    fits = fits.withColumn("_t", t_quantile(level, F.col("_n") - 2))
+    fits = stored(fits.withColumn("_t", t_quantile(level, F.col("_n") - 2)))
     away = F.col("_lx") - F.col("_mx")
     half = F.col("_t") * F.sqrt(
         F.col("_s2") * (ratio(F.lit(1), F.col("_n")) + ratio(away * away, F.col("_sxx"))))
@@ -338,6 +338,7 @@ def local_smooth(df: DataFrame, x: str, y: str, keys, span: float = 0.75,
     cells = (df.select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
              .filter(F.col("_x").isNotNull() & F.col("_y").isNotNull())
              .groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("_n"), F.sum("_y").alias("_sy")))
+    cells = stored(cells)
     bounds = cells.groupBy(*keys).agg(
         F.min("_x").alias("_low"), F.max("_x").alias("_high"), F.sum("_n").alias("_total"))
     at = F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_i") / (grid_points - 1)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,6 +68,13 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Write an intermediate result to the shared folder and continue from it."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write an intermediate result to the shared folder and continue from the files.
+
+    Used for aggregates that are read several times or joined back to rows. The files cut the
+    lineage, survive lost executors, and give the optimizer a measured size: a join with them is
+    a broadcast only below ``spark.sql.autoBroadcastJoinThreshold`` and a shuffle join beyond it.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
