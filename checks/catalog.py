@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from checks import stages as S
-from checks.sqltext import HUMAN_TEST, build, norm_cdf, norm_quantile, rnd
+from checks.sqltext import HUMAN_TEST, build, norm_cdf, norm_quantile, nudge, rnd
 from lodestat import functions as fn
 from lodestat.operators import (
     censor,
@@ -45,7 +45,7 @@ def query(sql: str | None = None, digits: int = 6):
 
 def tidy(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*[
-        F.round(F.col(f"`{f.name}`"), digits).alias(f.name) if isinstance(f.dataType, T.DoubleType)
+        F.round(F.col(f"`{f.name}`") + nudge(digits), digits).alias(f.name) if isinstance(f.dataType, T.DoubleType)
         else F.col(f"`{f.name}`") for f in df.schema.fields])
 
 
@@ -727,12 +727,12 @@ def baseline_points(spark, sf_dir):
 
 # --- trends -----------------------------------------------------------------------------------
 
-TREND_OUT = f"""{rnd('slope', 'slope')}, {rnd('intercept', 'intercept', 5)}, {rnd('tau', 'tau')},
+TREND_OUT = f"""{rnd('slope', 'slope')}, {rnd('intercept', 'intercept')}, {rnd('tau', 'tau')},
   {rnd('p', 'p')}, n"""
 
 
 def _trend_columns(df: DataFrame, keys) -> DataFrame:
-    return df.select(*keys, "slope", F.round("intercept", 5).alias("intercept"), "tau", "p", "n")
+    return df.select(*keys, "slope", "intercept", "tau", "p", "n")
 
 
 @query(f"SELECT parameter, stream, {TREND_OUT} FROM trend")
@@ -813,15 +813,14 @@ def regression_facets(spark, sf_dir):
 
 
 @query(f"""SELECT parameter, stream, {rnd('x_min + 0.1 * i', 'x')},
-  {rnd('(x_min + 0.1 * i) * slope + intercept', 'y', 5)} FROM (SELECT * FROM trend WHERE p < 0.5)
+  {rnd('(x_min + 0.1 * i) * slope + intercept', 'y')} FROM (SELECT * FROM trend WHERE p < 0.5)
   JOIN (SELECT parameter, min(year)::DOUBLE AS x_min, max(year)::DOUBLE AS x_max {FACETS} GROUP BY 1)
   USING (parameter), range(0, 2000) r(i) WHERE i <= floor((x_max - x_min) / 0.1 + 1e-10)""")
 def regression_grid(spark, sf_dir):
     kept = trend.significant_trends(S.yearly_trend(spark, sf_dir), alpha=0.5)
     bounds = trend.regression_facets(S.storm(spark, sf_dir), kept, "year", "rvalue").select(
         "parameter", "x_min", "x_max").distinct()
-    grid = trend.regression_grid(kept, bounds)
-    return grid.withColumn("y", F.round("y", 5))
+    return trend.regression_grid(kept, bounds)
 
 
 @query(f"""WITH d AS (SELECT *, log10(nullif(hardness, 0)) AS lx, log10(nullif(rvalue, 0)) AS ly FROM storm
@@ -937,7 +936,7 @@ def scaled_means(spark, sf_dir):
 # --- report data --------------------------------------------------------------------------------------
 
 @query(f"""WITH s AS (SELECT stream AS x, parameter AS y, (grand_mean - min(grand_mean) OVER w)
-    / (max(grand_mean) OVER w - min(grand_mean) OVER w) AS value, round_even(grand_mean, 1) AS label
+    / (max(grand_mean) OVER w - min(grand_mean) OVER w) AS value, round_even(grand_mean, 8) AS label
     FROM means WINDOW w AS (PARTITION BY parameter))
   SELECT x, y, {rnd('value', 'value')}, {rnd('label', 'label')}, false AS grey, x_rank, y_rank FROM s
   JOIN (SELECT x, CAST(row_number() OVER (ORDER BY sum(value) DESC, x) AS INTEGER) AS x_rank FROM s GROUP BY x)
@@ -946,7 +945,7 @@ def scaled_means(spark, sf_dir):
     USING (y)""")
 def heatmap_cells(spark, sf_dir):
     return explore.heatmap_cells(reshape.group_mean(S.storm(spark, sf_dir)), value="grand_mean",
-                                 method="rescale", label="grand_mean", label_digits=1)
+                                 method="rescale", label="grand_mean", label_digits=8)
 
 
 @query(f"""WITH s AS (SELECT stream AS x, parameter AS y, -CASE WHEN NOT all_censored THEN log10(mean) END AS value,

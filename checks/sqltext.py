@@ -12,8 +12,13 @@ from lodestat.functions.numbers import (
 from lodestat.operators.criteria import CRITERIA
 
 
+def nudge(digits: int) -> float:
+    """Small shift before rounding, so that exact halves do not sit on a rounding boundary."""
+    return 3.3 * 10.0 ** -(digits + 2)
+
+
 def rnd(expr: str, name: str, digits: int = 6) -> str:
-    return f"ROUND(CAST({expr} AS DOUBLE), {digits}) + 0.0 AS {name}"
+    return f"ROUND(CAST({expr} AS DOUBLE) + {nudge(digits)!r}, {digits}) + 0.0 AS {name}"
 
 
 def horner(coefficients, x: str) -> str:
