@@ -24,8 +24,10 @@ from lodestat.sources.files import stored
 
 # A group with at most this many distinct points is searched inside one task.
 IN_TASK_POINTS = 20_000
-# Trial slopes per round and rounds of the distributed search of larger groups.
-TRIALS, ROUNDS = 32, 8
+# The distributed search of larger groups ends at this relative bracket width.
+TOLERANCE, MAX_ROUNDS = 1e-10, 80
+# First trials around an estimate, in units of the group's range of y over its range of x.
+FIRST_STEPS = (1e-4, 1e-3, 1e-2, 0.1, 1.0, 1e2, 1e4, 2.0 ** 60)
 
 
 def eligible(df: DataFrame, keys, column: str, min_n: int = 3, distinct: bool = True) -> DataFrame:
@@ -133,65 +135,84 @@ def _slopes_in_task(points: DataFrame, keys) -> DataFrame:
 
 def _sign_sums(nodes: DataFrame, trials: DataFrame, keys) -> DataFrame:
     """Sign sums of every (group, trial slope), from running counts per dyadic node."""
-    run = [*keys, "_trial", "_bit", "_prefix"]
+    run = [*keys, "_b", "_bit", "_prefix"]
     low, detect = F.col("_upper") == 0, ~F.col("_c")
     sides = {"_ld": low & detect, "_lc": low & ~detect, "_hd": ~low & detect, "_hc": ~low & ~detect}
     residuals = attach(nodes, trials, keys, "inner").withColumn(
         "_r", F.col("_y") - F.col("_b") * F.col("_x"))
-    points = residuals.groupBy(*run, "_b", "_r").agg(*[
+    points = residuals.groupBy(*run, "_r").agg(*[
         F.sum(F.when(held, F.col("_w")).otherwise(F.lit(0))).alias(name)
         for name, held in sides.items()])
     seen = running_totals(points, run, "_r", list(sides))
     up = F.col("_hd") * (F.col("_ld_before") + F.col("_lc_before") + F.col("_lc")).cast("double")
     down = F.col("_ld") * (F.col("_hd_before") + F.col("_hc_before") + F.col("_hc")).cast("double")
-    return seen.groupBy(*keys, "_trial", "_b").agg(F.sum(up - down).alias("_s"))
+    return seen.groupBy(*keys, "_b").agg(F.sum(up - down).alias("_s"))
+
+
+def _brackets(evaluated: DataFrame, keys) -> DataFrame:
+    """Last positive and first negative sign sum known so far, with their neighbours."""
+    s, b = F.col("_s"), F.col("_b")
+    aggregates = []
+    for goal, stays in (("pos", s > 0), ("neg", s >= 0)):
+        low, high = F.when(stays, b), F.when(~stays, b)
+        aggregates += [F.max(low).alias(f"_lo_{goal}"), F.max_by(s, low).alias(f"_slo_{goal}"),
+                       F.min(high).alias(f"_hi_{goal}"), F.min_by(s, high).alias(f"_shi_{goal}")]
+    return evaluated.groupBy(*keys).agg(*aggregates)
+
+
+def _next_trials(brackets: DataFrame, keys) -> DataFrame:
+    """Trial slopes inside every bracket that is still open: an even fan, and the point where a
+    straight line between the ends crosses zero with two close neighbours."""
+    trials = []
+    for goal in ("pos", "neg"):
+        lo, hi = F.col(f"_lo_{goal}"), F.col(f"_hi_{goal}")
+        s_lo, s_hi = F.col(f"_slo_{goal}"), F.col(f"_shi_{goal}")
+        width = hi - lo
+        is_open = width > TOLERANCE * F.greatest(F.lit(1.0), F.abs(lo), F.abs(hi))
+        root = lo + width * ratio(s_lo, s_lo - s_hi)
+        inside = [lo + width * F.lit(t) for t in (0.2, 0.4, 0.6, 0.8)]
+        inside += [root, root - width * F.lit(1e-3), root + width * F.lit(1e-3)]
+        trials += [F.when(is_open & (t > lo) & (t < hi), t) for t in inside]
+    return (brackets.select(*keys, F.explode(F.array(*trials)).alias("_b"))
+            .filter(F.col("_b").isNotNull()).distinct())
 
 
 def _slopes_distributed(points: DataFrame, keys) -> DataFrame:
     """The same zero crossing for groups too large for one task.
 
-    Every round counts the sign sums of a fan of trial slopes and narrows two brackets per
-    group: the last positive and the first negative sum. Only brackets pass between rounds.
+    Every round counts the sign sums of a few trial slopes over all points and narrows the
+    brackets; only brackets and sums pass between rounds. The first trials surround the slope of
+    a hashed subset of the points. That subset decides where the search starts, nothing else.
     """
     keys = list(keys)
     levels = ordinal_positions(points.select(*keys, "_x").distinct(), keys, "_x", [], "_rank")
-    ranked = attach(points, levels, [*keys, "_x"]).withColumn("_rank", F.col("_rank") - 1)
+    ranked = attach_stats(points, levels, [*keys, "_x"]).withColumn("_rank", F.col("_rank") - 1)
     bits = F.greatest(F.length(F.bin(F.col("group_size") - 1)), F.lit(1))
     nodes = stored(ranked.withColumn("_bit", F.explode(F.sequence(F.lit(0), bits - 1))).selectExpr(
         *[f"`{k}`" for k in keys], "_x", "_y", "_c", "_w", "_bit",
         "shiftright(_rank, _bit + 1) AS _prefix", "shiftright(_rank, _bit) & 1 AS _upper"))
-    scale = ratio(F.max("_y") - F.min("_y"), F.max("_x") - F.min("_x"))
-    powers = [0.0] + [sign * 2.0 ** e for e in range(-60, 64, 4) for sign in (-1.0, 1.0)]
-    first = points.groupBy(*keys).agg(F.coalesce(F.nullif(scale, F.lit(0.0)), F.lit(1.0)).alias("_scale"))
-    trials = first.select(*keys, F.posexplode(F.array(
-        *[F.lit(p) * F.col("_scale") for p in sorted(powers)])).alias("_trial", "_b"))
-    goals = {"pos": F.col("_s") > 0, "neg": F.col("_s") >= 0}
-    start = stored(_sign_sums(nodes, trials, keys))
-    brackets = start.groupBy(*keys).agg(*[
-        c for g, stays in goals.items() for c in (
-            F.max(F.when(stays, F.col("_b"))).alias(f"_lo_{g}"),
-            F.min(F.when(~stays, F.col("_b"))).alias(f"_hi_{g}"))])
-    for _ in range(ROUNDS):
-        fan = brackets.select(*keys, *[f"_{e}_{g}" for g in goals for e in ("lo", "hi")],
-                              F.posexplode(F.array(*[
-                                  F.col(f"_lo_{g}") + (F.col(f"_hi_{g}") - F.col(f"_lo_{g}"))
-                                  * F.lit(i / (TRIALS + 1))
-                                  for g in goals for i in range(1, TRIALS + 1)])
-                              ).alias("_trial", "_b"))
-        tried = _sign_sums(nodes, fan.select(*keys, "_trial", "_b").filter("_b IS NOT NULL"), keys)
-        held = tried.groupBy(*keys).agg(*[
-            c for g, stays in goals.items() for c in (
-                F.max(F.when(stays, F.col("_b"))).alias(f"_nlo_{g}"),
-                F.min(F.when(~stays, F.col("_b"))).alias(f"_nhi_{g}"))])
-        # The sums fall with the slope, so bounds only move inwards.
-        brackets = stored(attach(brackets, held, keys).select(*keys, *[
-            c for g in goals for c in (
-                F.greatest(F.col(f"_lo_{g}"), F.col(f"_nlo_{g}")).alias(f"_lo_{g}"),
-                F.least(F.col(f"_hi_{g}"), F.col(f"_nhi_{g}")).alias(f"_hi_{g}"))]))
+    unit = ratio(F.max("_y") - F.min("_y"), F.max("_x") - F.min("_x"))
+    groups = stored(points.groupBy(*keys).agg(
+        F.coalesce(F.nullif(unit, F.lit(0.0)), F.lit(1.0)).alias("_unit"),
+        F.ceil(F.count(F.lit(1)) / (IN_TASK_POINTS // 2)).alias("_every")))
+    subset = attach(points, groups, keys).filter(
+        F.pmod(F.xxhash64("_x", "_y", "_c"), F.col("_every")) == 0)
+    guess = _slopes_in_task(subset.select(*points.columns), keys).select(
+        *keys, F.col("slope").alias("_guess"))
+    centre, step = F.coalesce(F.col("_guess"), F.lit(0.0)), F.col("_unit")
+    trials = attach(groups, guess, keys).select(*keys, F.explode(F.array(
+        F.lit(0.0), centre, *[centre + F.lit(sign * k) * step for k in FIRST_STEPS
+                              for sign in (-1.0, 1.0)])).alias("_b")).distinct()
+    evaluated = stored(_sign_sums(nodes, stored(trials), keys))
+    for _ in range(MAX_ROUNDS):
+        trials = stored(_next_trials(_brackets(evaluated, keys), keys))
+        if trials.isEmpty():
+            break
+        evaluated = stored(evaluated.unionByName(_sign_sums(nodes, trials, keys)))
     crossing = (F.col("_lo_pos") + F.col("_hi_pos") + F.col("_lo_neg") + F.col("_hi_neg")) / 4
-    at_zero = start.filter(F.col("_b") == 0).select(*keys, F.col("_s").alias("s_zero"))
-    return attach(points.select(*keys).distinct(), attach(
-        brackets.select(*keys, crossing.alias("slope")), at_zero, keys), keys)
+    at_zero = evaluated.filter(F.col("_b") == 0).select(*keys, F.col("_s").alias("s_zero"))
+    return attach(attach(groups.select(*keys), _brackets(evaluated, keys).select(
+        *keys, crossing.alias("slope")), keys), at_zero, keys)
 
 
 def _tie_sums(points: DataFrame, keys, by, suffix: str) -> DataFrame:
