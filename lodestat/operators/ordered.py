@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Slices per factor of e in the value.
-RESOLUTION = 1024.0
+RESOLUTION = 128.0
 # ln of the smallest positive double is about -744.4.
 LOG_OFFSET = 746.0
 # Leading characters that form a slice when text is ranked.

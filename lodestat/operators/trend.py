@@ -138,14 +138,16 @@ def _sign_sums(nodes: DataFrame, trials: DataFrame, keys) -> DataFrame:
     run = [*keys, "_b", "_bit", "_prefix"]
     low, detect = F.col("_upper") == 0, ~F.col("_c")
     sides = {"_ld": low & detect, "_lc": low & ~detect, "_hd": ~low & detect, "_hc": ~low & ~detect}
+    # A non-detect counts as below a detect of equal residual, so both sides need its own count.
     residuals = attach(nodes, trials, keys, "inner").withColumn(
         "_r", F.col("_y") - F.col("_b") * F.col("_x"))
     points = residuals.groupBy(*run, "_r").agg(*[
         F.sum(F.when(held, F.col("_w")).otherwise(F.lit(0))).alias(name)
         for name, held in sides.items()])
-    seen = running_totals(points, run, "_r", list(sides))
-    up = F.col("_hd") * (F.col("_ld_before") + F.col("_lc_before") + F.col("_lc")).cast("double")
-    down = F.col("_ld") * (F.col("_hd_before") + F.col("_hc_before") + F.col("_hc")).cast("double")
+    points = points.withColumns({"_low": F.col("_ld") + F.col("_lc"), "_high": F.col("_hd") + F.col("_hc")})
+    seen = running_totals(points, run, "_r", ["_low", "_high"])
+    up = F.col("_hd") * (F.col("_low_before") + F.col("_lc")).cast("double")
+    down = F.col("_ld") * (F.col("_high_before") + F.col("_hc")).cast("double")
     return seen.groupBy(*keys, "_b").agg(F.sum(up - down).alias("_s"))
 
 
