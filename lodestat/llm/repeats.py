@@ -32,6 +32,7 @@ RUN = np.dtype([("key", "<u8"), ("ctx", "<u8"), ("doc", "<i8"), ("row", "<i4"),
 OPEN = np.dtype([("key", "<u8"), ("start", "<u4"), ("more", "<u2")])
 SPAN = np.dtype([("start", "<u4"), ("end", "<u4")])
 WINDOW = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("row", "<i4"), ("start", "<u4")])
+PIECE = np.dtype([("key", "<u8"), ("doc", "<i8"), ("row", "<i4"), ("start", "<u4"), ("more", "<u2")])
 ONCE, TWICE, SETTLED = 0, 1, 2
 
 
@@ -159,35 +160,75 @@ def _meet(size: int, any_order: bool):
     return build
 
 
+def _starts(todo: np.ndarray) -> np.ndarray:
+    """Every window of runs."""
+    n = todo["more"].astype(np.int64) + 1
+    return np.repeat(todo["start"].astype(np.int64), n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
 def _second_pass(size: int, words: bool, buckets: int):
+    """Runs of words are sent as fingerprints of their windows, runs of bytes as the bytes they cover."""
     def build(batches):
         for batch in batches:
             data, offsets = buffer(batch.column("text"))
             for a, b in slices(offsets):
-                prints, begin = sequences(batch.column("text"), a, b, data, offsets, words)
-                out = []
-                for i in range(a, b):
-                    todo = np.frombuffer(b"".join(batch.column("open")[i].as_py()), OPEN)
+                todo = [np.frombuffer(b"".join(x), OPEN) for x in batch.column("open")[a:b].to_pylist()]
+                of = np.repeat(np.arange(a, b), [len(x) for x in todo])
+                todo = np.concatenate(todo)
+                where = (mix(todo["key"]) % np.uint64(buckets)).astype(np.int32)
+                doc = batch.column("_doc").to_numpy(zero_copy_only=False)[of]
+                row = batch.column("_row").to_numpy(zero_copy_only=False)[of]
+                if words:
+                    prints, begin = sequences(batch.column("text"), a, b, data, offsets, words)
                     n = todo["more"].astype(np.int64) + 1
-                    key = np.repeat(todo["key"], n)
-                    start = np.repeat(todo["start"].astype(np.int64), n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    rec = np.zeros(len(key), WINDOW)
-                    at = start + begin[i - a]
-                    rec["hash"], rec["start"] = prints.of(at, at + size) ^ mix(key), start
-                    rec["doc"], rec["row"] = batch.column("_doc")[i].as_py(), batch.column("_row")[i].as_py()
-                    out.append((mix(key) % np.uint64(buckets), rec))
-                where, rec = (np.concatenate(x) for x in zip(*out, strict=True))
-                out = list(by_bucket(where.astype(np.int32), rec))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], ["bucket", "data"])
+                    rec = np.zeros(n.sum(), WINDOW)
+                    rec["start"] = start = _starts(todo)
+                    at = start + np.repeat(begin[of - a], n)
+                    rec["hash"] = prints.of(at, at + size) ^ mix(np.repeat(todo["key"], n))
+                    rec["doc"], rec["row"] = np.repeat(doc, n), np.repeat(row, n)
+                    out = [(k, x, b"") for k, x in by_bucket(np.repeat(where, n), rec)]
+                else:
+                    rec = np.zeros(len(todo), PIECE)
+                    rec["doc"], rec["row"] = doc, row
+                    for f in ("key", "start", "more"):
+                        rec[f] = todo[f]
+                    order = np.argsort(where, kind="stable")
+                    rec, where, of = rec[order], where[order], of[order]
+                    at = group_starts(where)
+                    out = []
+                    for i, j in zip(at, np.append(at[1:], len(rec)), strict=True):
+                        lo = offsets[of[i:j]] + rec["start"][i:j]
+                        hi = lo + rec["more"][i:j] + size
+                        out.append((int(where[i]), rec[i:j].tobytes(), b"".join(data[x:y].tobytes() for x, y in zip(lo, hi, strict=True))))
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), *(pa.array([x[i] for x in out], pa.binary()) for i in (1, 2))],
+                                                 ["bucket", "data", "texts"])
     return build
 
 
-def _compare(size: int, any_order: bool):
+def _windows(batches, size: int, words: bool) -> np.ndarray:
+    """The windows that meet in a task, by fingerprint."""
+    parts = [np.zeros(0, WINDOW)]
+    for batch in batches:
+        if words:
+            parts.append(unpack(batch.column("data"), WINDOW))
+            continue
+        for packed, text in zip(batch.column("data").to_pylist(), batch.column("texts").to_pylist(), strict=True):
+            todo = np.frombuffer(packed, PIECE)
+            n = todo["more"].astype(np.int64) + 1
+            begin = np.cumsum(n + size - 1) - (n + size - 1)
+            at = np.repeat(begin, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            rec = np.zeros(len(at), WINDOW)
+            rec["hash"] = Fingerprints(BYTE_VALUES[np.frombuffer(text, np.uint8)]).of(at, at + size) ^ mix(np.repeat(todo["key"], n))
+            rec["start"] = _starts(todo)
+            rec["doc"], rec["row"] = np.repeat(todo["doc"], n), np.repeat(todo["row"], n)
+            parts.append(rec)
+    return np.concatenate(parts)
+
+
+def _compare(size: int, words: bool, any_order: bool):
     def build(batches):
-        parts = [unpack(b.column("data"), WINDOW) for b in batches]
-        rec = np.concatenate(parts) if parts else np.zeros(0, WINDOW)
-        rec = rec[np.lexsort((rec["start"], rec["doc"], rec["hash"]))]
+        rec = _windows(batches, size, words)
+        rec = rec[np.argsort(rec["hash"], kind="stable") if any_order else np.lexsort((rec["start"], rec["doc"], rec["hash"]))]
         at = group_starts(rec["hash"])
         sizes = np.diff(np.append(at, len(rec)))
         first = np.repeat(at, sizes)
@@ -241,8 +282,8 @@ def repeated_spans(docs: DataFrame, size: int, k: int, words: bool, any_order: b
     first = stored(first)
     left = first.where("open is not null").groupBy("_doc", "_row").agg(F.collect_list("open").alias("open"))
     second = (keyed.select("_doc", "_row", "text").join(left, ["_doc", "_row"])
-              .mapInArrow(_second_pass(size, words, buckets), "bucket int, data binary")
-              .repartition(parts, "bucket").select("data").mapInArrow(_compare(size, any_order), kept))
+              .mapInArrow(_second_pass(size, words, buckets), "bucket int, data binary, texts binary")
+              .repartition(parts, "bucket").select("data", "texts").mapInArrow(_compare(size, words, any_order), kept))
     spans = (first.where("spans is not null").select("_doc", "_row", "spans")
              .union(second.where("spans is not null").select("_doc", "_row", "spans"))
              .groupBy("_doc", "_row").agg(F.collect_list("spans").alias("spans")))
