@@ -249,6 +249,8 @@ class Tree:
         top = len(self.levels) - 1
         x = y = np.zeros(1, np.int64)
         for level in range(top, -1, -1):
+            if not len(x):
+                break
             bits, low, high, excess, first, last = self.levels[level]
             keep = []
             for i in range(0, len(x), 65536):
