@@ -29,7 +29,7 @@ from lodestat.llm.text import buffer, slices
 from lodestat.sources.files import stored
 
 #: Entries of a task's table of tokenised words; beyond that it starts anew.
-WORD_TABLE = 400_000
+WORD_TABLE = 800_000
 #: A blank between two white characters isn't a border of tokens.
 INNER_BLANK = re.compile(r" \s(?<=\s \s)")
 
@@ -50,6 +50,9 @@ class WordTable:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.words: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.opens_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.opens_word[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True  # the byte-level sign of a blank
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
@@ -63,7 +66,13 @@ class WordTable:
         for t in texts:
             parts.append(None if "<|" in t or INNER_BLANK.search(t) else t.split(" "))
         heads = self._encode([p[0] if p else t for p, t in zip(parts, texts, strict=True)])
-        new = list({w for p in parts if p for w in p[1:]}.difference(self.words))
+        new = {w for p in parts if p for w in p[1:]}.difference(self.words)
+        plain = [w for w in new if w and w.isprintable()]  # no white space within
+        if plain:  # as one text: a token with a blank begins a word
+            ids = self._encode([" " + " ".join(plain)])[0]
+            at = 4 * np.append(np.flatnonzero(self.opens_word[np.frombuffer(ids, "<u4")]), len(ids) // 4)
+            self.words.update(zip(plain, (ids[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)), strict=True))
+        new = list(new.difference(plain))
         self.words.update(zip(new, self._encode([" " + w for w in new]), strict=True))
         get = self.words.__getitem__
         return [h + b"".join(map(get, p[1:])) if p else h for p, h in zip(parts, heads, strict=True)]
