@@ -298,8 +298,8 @@ def _checked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
 def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
     """Classes and links of documents whose shingle sets have a similarity of ``percent`` or more.
 
-    The first table has doc_id, n_shingles, ``set`` (equal for equal sets) and component_id for each
-    row of docs; the second pairs of sets: those that join components, not all links in a group.
+    The first table has doc_id, the row keys, n_shingles, ``set`` (equal for equal sets), component_id and
+    ``kept`` (true in one row of each component, or in its identical rows) for each row of docs; the second pairs of sets: those that join components, not all links in a group.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -328,9 +328,9 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFr
         links = links.union(more)
         labels = components(links)
     of = named.join(labels.select(F.col("node").alias("set"), "label"), "set", "left").withColumn("label", F.coalesce("label", "set"))
-    least = stored(of.where("n_shingles > 0").groupBy("label").agg(F.min("doc_id").alias("component_id")))
+    least = stored(of.where("n_shingles > 0").groupBy("label").agg(F.min("doc_id").alias("component_id"), F.min(F.struct("_doc", "_row")).alias("_first")))
     rows = of.join(least, "label", "left").select(
-        "doc_id", "n_shingles", "set", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        "doc_id", "_doc", "_row", "n_shingles", "set", F.coalesce(F.col("_first") == F.struct("_doc", "_row"), F.lit(True)).alias("kept"), F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
     return rows, links
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestat.llm.text import (
@@ -261,14 +261,18 @@ def merged(blobs: list[bytes] | None) -> np.ndarray:
     return np.stack([start[at], end[np.append(at[1:], len(start)) - 1]], axis=1)
 
 
+def row_keys() -> dict[str, Column]:
+    """Two keys of a row; a null doc_id comes before all others."""
+    return {"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "_row": F.pmod(F.xxhash64("text"), F.lit(2**31)).cast("int")}
+
+
 def with_keys(docs: DataFrame) -> DataFrame:
-    """doc_id, text and two keys of a row; a null doc_id comes before all others."""
-    return docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("_doc"),
-                       F.pmod(F.xxhash64("text"), F.lit(2**31)).cast("int").alias("_row"))
+    """doc_id, text and the keys of a row."""
+    return docs.select("doc_id", "text", *(c.alias(name) for name, c in row_keys().items()))
 
 
 def repeated_spans(docs: DataFrame, size: int, k: int, words: bool, any_order: bool) -> DataFrame:
-    """Documents (see with_keys) with ``spans``, the packed spans of repeated windows, or null.
+    """``docs`` with ``spans``, the packed spans of repeated windows, or null.
 
     ``any_order``: a window counts if it occurs twice anywhere; otherwise only its later occurrences
     do, in order of doc_id and place.
@@ -287,4 +291,4 @@ def repeated_spans(docs: DataFrame, size: int, k: int, words: bool, any_order: b
     spans = (first.where("spans is not null").select("_doc", "_row", "spans")
              .union(second.where("spans is not null").select("_doc", "_row", "spans"))
              .groupBy("_doc", "_row").agg(F.collect_list("spans").alias("spans")))
-    return keyed.join(spans, ["_doc", "_row"], "left")
+    return docs.drop("_doc", "_row", "spans").withColumns(row_keys()).join(spans, ["_doc", "_row"], "left")

@@ -7,7 +7,7 @@ only the anchor agrees. Factors of at least ``size`` words are the duplicate spa
 
 Null or empty texts and texts of fewer than ``size`` words have no spans. A null doc_id comes before
 all others. Rows that repeat a doc_id and its text are one place, so neither makes the other a
-repeat; different texts under one doc_id are parsed apart. Other columns are kept by ``remove``.
+repeat; different texts under one doc_id are parsed apart. ``cleaned`` keeps other columns.
 """
 
 from __future__ import annotations
@@ -81,11 +81,12 @@ def _cut(batches):
                 at = starts[b] if b < len(starts) else ends[b - 1]
             text.append(part[at:].tobytes())
             texts.append(b"".join(text).decode())
-        yield pa.RecordBatch.from_arrays([batch.column("_doc"), batch.column("_row"), pa.array(texts, pa.string())], ["_doc", "_row", "text"])
+        names = [c for c in batch.schema.names if c != "spans"]
+        yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names], names)
 
 
 def factors(docs: DataFrame, size: int = 20) -> DataFrame:
-    """doc_id, text and packed spans (null: none) of words that repeat ``size`` words found earlier."""
+    """``docs`` with packed spans (null: none) of words that repeat ``size`` words found earlier."""
     return repeated_spans(docs, size, min(ANCHOR, size), words=True, any_order=False)
 
 
@@ -97,5 +98,5 @@ def digests(docs: DataFrame, size: int = 20) -> DataFrame:
 
 
 def cleaned(docs: DataFrame, size: int = 20) -> DataFrame:
-    """doc_id keys and the text without its repeated words; white space between kept words stays."""
-    return factors(docs, size).select("_doc", "_row", "text", "spans").mapInArrow(_cut, "_doc long, _row int, text string")
+    """``docs`` without repeated words; white space between kept words stays."""
+    return factors(docs, size).select(*docs.columns, "spans").mapInArrow(_cut, docs.schema)
