@@ -25,15 +25,15 @@ from lodestat.llm.text import buffer, slices, word_spans
 ANCHOR = 4
 
 
-def _parts(batch, size_of=None):
-    """For each text: its bytes, word starts and ends, and disjoint factors in words."""
+def _parts(batch):
+    """For each text: bytes of its slice, where it begins and ends, its words' starts and ends, and factors in words."""
     data, offsets = buffer(batch.column("text"))
     for a, b in slices(offsets):
         part, at = data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a]
         starts, ends, begin = word_spans(part, at)
         for i in range(a, b):
             lo, hi = begin[i - a], begin[i - a + 1]
-            yield part, starts[lo:hi], ends[lo:hi], merged(batch.column("spans")[i].as_py())
+            yield part, at[i - a], at[i - a + 1], starts[lo:hi], ends[lo:hi], merged(batch.column("spans")[i].as_py())
 
 
 def _kept_runs(n: int, factors: np.ndarray) -> list[tuple[int, int]]:
@@ -44,7 +44,7 @@ def _kept_runs(n: int, factors: np.ndarray) -> list[tuple[int, int]]:
 def _digest(batches):
     for batch in batches:
         words, removed, sha = [], [], []
-        for part, starts, ends, factors in _parts(batch):
+        for part, _, _, starts, ends, factors in _parts(batch):
             n, digest = len(starts), hashlib.sha256()
             solid = True
             for a, b in _kept_runs(n, factors):
@@ -70,16 +70,16 @@ def _digest(batches):
 def _cut(batches):
     for batch in batches:
         texts = []
-        for i, (part, starts, ends, factors) in enumerate(_parts(batch)):
+        for i, (part, at, stop, starts, ends, factors) in enumerate(_parts(batch)):
             if not len(factors):
                 texts.append(batch.column("text")[i].as_py())
                 continue
             # white space after a removed word goes with it
-            text, at = [], 0
+            text = []
             for a, b in factors.tolist():
                 text.append(part[at:starts[a]].tobytes())
                 at = starts[b] if b < len(starts) else ends[b - 1]
-            text.append(part[at:].tobytes())
+            text.append(part[at:stop].tobytes())
             texts.append(b"".join(text).decode())
         names = [c for c in batch.schema.names if c != "spans"]
         yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names], names)
