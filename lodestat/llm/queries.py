@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestat.llm import jaccard_join, near_vectors, packing, quality, substring_dedup, suffix_dedup, surrogates
+from lodestat.llm import fingerprints, jaccard_join, near_vectors, packing, quality, substring_dedup, suffix_dedup, surrogates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -58,3 +58,8 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates.replace(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_entities")
+
+
+@query
+def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
