@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestat.llm import fingerprints, jaccard_join, language_model, near_vectors, packing, quality, substring_dedup, suffix_dedup, surrogates
+from lodestat.llm import fingerprints, jaccard_join, language_model, near_vectors, packing, pieces, quality, substring_dedup, suffix_dedup, surrogates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -68,3 +68,8 @@ def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_language_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.scores(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
