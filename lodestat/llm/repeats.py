@@ -272,7 +272,7 @@ def with_keys(docs: DataFrame) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, size: int, k: int, words: bool, any_order: bool) -> DataFrame:
-    """``docs`` with ``spans``, the packed spans of repeated windows, or null.
+    """``docs`` with ``_spans``, the packed spans of repeated windows, or null.
 
     ``any_order``: a window counts if it occurs twice anywhere; otherwise only its later occurrences
     do, in order of doc_id and place.
@@ -290,5 +290,5 @@ def repeated_spans(docs: DataFrame, size: int, k: int, words: bool, any_order: b
               .repartition(parts, "bucket").select("data", "texts").mapInArrow(_compare(size, words, any_order), kept))
     spans = (first.where("spans is not null").select("_doc", "_row", "spans")
              .union(second.where("spans is not null").select("_doc", "_row", "spans"))
-             .groupBy("_doc", "_row").agg(F.collect_list("spans").alias("spans")))
-    return docs.drop("_doc", "_row", "spans").withColumns(row_keys()).join(spans, ["_doc", "_row"], "left")
+             .groupBy("_doc", "_row").agg(F.collect_list("spans").alias("_spans")))
+    return docs.drop("_doc", "_row", "_spans").withColumns(row_keys()).join(spans, ["_doc", "_row"], "left")

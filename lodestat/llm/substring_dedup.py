@@ -33,7 +33,7 @@ def _parts(batch):
         starts, ends, begin = word_spans(part, at)
         for i in range(a, b):
             lo, hi = begin[i - a], begin[i - a + 1]
-            yield part, at[i - a], at[i - a + 1], starts[lo:hi], ends[lo:hi], merged(batch.column("spans")[i].as_py())
+            yield part, at[i - a], at[i - a + 1], starts[lo:hi], ends[lo:hi], merged(batch.column("_spans")[i].as_py())
 
 
 def _kept_runs(n: int, factors: np.ndarray) -> list[tuple[int, int]]:
@@ -81,7 +81,7 @@ def _cut(batches):
                 at = starts[b] if b < len(starts) else ends[b - 1]
             text.append(part[at:stop].tobytes())
             texts.append(b"".join(text).decode())
-        names = [c for c in batch.schema.names if c != "spans"]
+        names = [c for c in batch.schema.names if c != "_spans"]
         yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names], names)
 
 
@@ -93,10 +93,10 @@ def factors(docs: DataFrame, size: int = 20) -> DataFrame:
 def digests(docs: DataFrame, size: int = 20) -> DataFrame:
     """doc_id, n_words, n_removed and the SHA-256 of the words kept, one row for each row of docs."""
     fields = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    return factors(docs, size).select("doc_id", "text", "spans").mapInArrow(
+    return factors(docs, size).select("doc_id", "text", "_spans").mapInArrow(
         _digest, f"doc_id {fields['doc_id']}, n_words long, n_removed long, kept_sha256 string")
 
 
 def cleaned(docs: DataFrame, size: int = 20) -> DataFrame:
     """``docs`` without repeated words; white space between kept words stays."""
-    return factors(docs, size).select(*docs.columns, "spans").mapInArrow(_cut, docs.schema)
+    return factors(docs, size).select(*docs.columns, "_spans").mapInArrow(_cut, docs.schema)

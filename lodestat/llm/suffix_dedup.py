@@ -32,7 +32,7 @@ def _digest(batches):
         size, removed, spans_n, sha = [], [], [], []
         for i in range(len(batch)):
             text = data[offsets[i]:offsets[i + 1]]
-            spans = merged(batch.column("spans")[i].as_py())
+            spans = merged(batch.column("_spans")[i].as_py())
             digest, at = hashlib.sha256(), 0
             for a, b in spans.tolist():
                 digest.update(text[at:a])
@@ -55,5 +55,5 @@ def spans(docs: DataFrame, size: int = 400) -> DataFrame:
 def digests(docs: DataFrame, size: int = 400) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and the SHA-256 of the bytes kept, one row for each row of docs."""
     fields = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    return spans(docs, size).select("doc_id", "text", "spans").mapInArrow(
+    return spans(docs, size).select("doc_id", "text", "_spans").mapInArrow(
         _digest, f"doc_id {fields['doc_id']}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

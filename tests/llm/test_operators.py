@@ -1,0 +1,206 @@
+"""Operators for training data against brute force, with nulls, empty and repeated rows and clashing columns."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import public_tokenizers
+import pytest
+
+from lodestat.llm import (
+    fingerprints,
+    jaccard_join,
+    language_model,
+    near_vectors,
+    packing,
+    pieces,
+    quality,
+    substring_dedup,
+    suffix_dedup,
+    surrogates,
+)
+
+WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+SCHEMA = "doc_id long, text string, _bucket int, label string, spans string"
+
+
+def corpus():
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(300)]
+    text = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    base, passage = text(150), text(60)
+    out = [base, base, base.replace("w1 ", "x "), text(40) + " " + passage + "\n" + text(30), passage, "é " + passage + " ü", None, "", "  \n", "one",
+           "two words", "Two  words", text(3000), "a " * 900, "b" * 1500, text(80)]
+    for _ in range(6):
+        words = base.split()
+        words[rng.randrange(150)] = "edit"
+        out.append(" ".join(words))
+    return list(enumerate(out))
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame([(i, t, 1, "x", "y") for i, t in corpus()], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def words(text, lower=False):
+    raw = (text or "").encode()
+    return WORD.findall(raw.lower() if lower else raw)
+
+
+def test_substring_dedup(docs):
+    seen, want = set(), {}
+    for d, t in corpus():
+        w = words(t)
+        gone = [False] * len(w)
+        for i in range(len(w) - 19):
+            k = tuple(w[i:i + 20])
+            if k in seen:
+                gone[i:i + 20] = [True] * 20
+            seen.add(k)
+        want[d] = (len(w), sum(gone), hashlib.sha256(b" ".join(x for x, g in zip(w, gone, strict=True) if not g)).hexdigest())
+    assert {r[0]: tuple(r[1:]) for r in substring_dedup.digests(docs).collect()} == want
+    cut = substring_dedup.cleaned(docs)
+    assert cut.columns == docs.columns
+    for r in cut.collect():
+        assert hashlib.sha256(b" ".join(words(r.text))).hexdigest() == want[r.doc_id][2]
+
+
+def test_suffix_dedup(docs):
+    texts = {d: (t or "").encode() for d, t in corpus()}
+    places = {}
+    for b in texts.values():
+        for i in range(len(b) - 399):
+            places[b[i:i + 400]] = places.get(b[i:i + 400], 0) + 1
+    want = {}
+    for d, b in texts.items():
+        gone = bytearray(len(b))
+        for i in range(len(b) - 399):
+            if places[b[i:i + 400]] > 1:
+                gone[i:i + 400] = b"\1" * 400
+        runs = sum(1 for i, g in enumerate(gone) if g and not (i and gone[i - 1]))
+        want[d] = (len(b), sum(gone), runs, hashlib.sha256(bytes(x for x, g in zip(b, gone, strict=True) if not g)).hexdigest())
+    assert {r[0]: tuple(r[1:]) for r in suffix_dedup.digests(docs).collect()} == want
+
+
+def test_jaccard_join(docs):
+    sets = {}
+    for d, t in corpus():
+        w = words(t, lower=True)
+        sets[d] = {tuple(w[i:i + 4]) for i in range(len(w) - 3)} or ({tuple(w)} if w else set())
+    part = {d: d for d in sets}
+    for _ in sets:
+        for a in sets:
+            for b in sets:
+                both = len(sets[a] & sets[b])
+                if both and 100 * both >= 85 * len(sets[a] | sets[b]):
+                    part[a] = part[b] = min(part[a], part[b])
+    rows, _ = jaccard_join.jaccard_join(docs, k=4, percent=85)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows.collect()} == {d: (len(s), part[d]) for d, s in sets.items()}
+
+
+def test_packing(docs):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    got = packing.pack(packing.pieces(docs, path)).collect()
+    from tokenizers import Tokenizer
+    tokenizer = Tokenizer.from_file(path)
+    for d, t in corpus():
+        ids = [*tokenizer.encode(t or "", add_special_tokens=False).ids, 0]
+        mine = sorted((r for r in got if r.doc_id == d), key=lambda r: r.piece)
+        assert [r.start for r in mine] == [sum(x.length for x in mine[:i]) for i in range(len(mine))]
+        assert sum(r.length for r in mine) == len(ids)
+        for r in mine:
+            raw = b"".join(i.to_bytes(4, "little") for i in ids[r.start:r.start + r.length])
+            assert zlib.crc32(raw) == r.ids_crc32
+    sequences = {}
+    for r in got:
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for rows in sequences.values():
+        at = 0
+        for offset, length in sorted(rows):
+            assert offset == at
+            at += length
+        assert at <= 2048
+
+
+def test_word_table_keeps_token_borders():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["a   b", "a \n b", "\n \n x", " lead", "tail ", "é ü", "a  b", "don't stop", "<|endoftext|> x", "x  y", "a\n\n b", "1 234,5  6"]
+    table = packing.WordTable(path)
+    assert table.encode(texts) == table._encode(texts)
+
+
+def test_near_vectors(spark):
+    rows = [(0, [1.0, 0.0]), (1, [2.0, 0.01]), (2, [0.0, 1.0]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [1.0, 0.0, 0.0]), (7, [1.0, 0.3])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in near_vectors.near_vectors(df).collect()}
+    assert got == {0: (2, 0, True), 1: (2, 0, False), 2: (0, 2, True), 3: (0, 3, True), 4: (0, 4, True), 5: (0, 5, True), 6: (0, 6, True), 7: (2, 0, False)}
+
+
+def test_surrogates(docs, spark):
+    df = spark.createDataFrame([(1, "mail a.b@mail1.example.com or 10.0.0.1, again 10.0.0.1", "k"), (2, "Mrs Anna Schmidt, a.b@mail1.example.com", "k"), (3, None, "k")],
+                               "doc_id long, text string, n_entities string")
+    one, two, three = (r.text for r in surrogates.replace(df).orderBy("doc_id").collect())
+    assert "a.b@mail1" not in one and "10.0.0.1" not in one and "Schmidt" not in two and three is None
+    address = re.findall(r"\S+@\S+", one)[0]
+    assert address in two and len(set(re.findall(r"\d+\.\d+\.\d+\.\d+", one))) == 1
+    assert {r.doc_id: r.text for r in surrogates.replace(docs).collect()} == dict(corpus())
+
+
+def test_language_model(docs):
+    import math
+    tokens = {d: [*words(t, lower=True), None] for d, t in corpus()}
+    counts = {}
+    for d, w in tokens.items():
+        if zlib.crc32(str(d).encode()) % 5 != 1:
+            for x in w:
+                counts[x] = counts.get(x, 0) + 1
+    total = sum(counts.values())
+    for r in language_model.scores(docs).collect():
+        w = tokens[r.doc_id]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w), sum(x in counts for x in w), total)
+        assert abs(r.base_score - sum(math.log10((counts.get(x, 0) + .5) / (total + .5 * (len(counts) + 1))) for x in w)) < 1e-6 * len(w)
+        assert r.score < 0
+
+
+def test_fingerprints(docs):
+    rows = {r.doc_id: r for r in fingerprints.fingerprints(docs).collect()}
+    texts = [t or "" for _, t in corpus()]
+    for i, t in enumerate(texts):
+        edited = t[:len(t) - len(t) // 4] + texts[(i + 1) % len(texts)][:len(t) // 4]
+        assert rows[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+    assert rows[0].fingerprint == rows[1].fingerprint and rows[0].near_next == 1.0
+
+
+def test_pieces():
+    import sentencepiece
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    texts = ["Hello  world a\nb  ", "", "  a  ", "x中\U0001f600 b\nc", "\ta   b", "unbelievably tokenised", "ééé"]
+    matcher = pieces.Matcher(path)
+    assert matcher.encode(texts) == sentencepiece.SentencePieceProcessor(model_file=path).encode(texts)
+    assert [matcher.decode(x) for x in matcher.encode(texts)] == texts
+    assert matcher.encode([None]) == [None]
+
+
+def test_quality(spark):
+    rng = random.Random(3)
+    good = lambda: " ".join(rng.choice("the of and a to in sun moon tree".split()) for _ in range(60))
+    rows = [(i, good() + (" scum idiot scum" if i % 4 == 0 else "")) for i in range(400)]
+    labels = [(i, 1, int(i % 4 == 0)) for i in range(300)] + [(301, None, 1), (None, 1, 0)]
+    got = quality.resample(spark.createDataFrame([*rows, (900, None), (901, "")], "doc_id long, text string"),
+                           spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    kept = {r.doc_id: r.kept for r in got.collect()}
+    assert all(kept[i] == (i % 4 != 0) for i in range(400)) and kept[900] and kept[901]
+
+
+@pytest.mark.parametrize("f", [substring_dedup.digests, suffix_dedup.digests, substring_dedup.cleaned, surrogates.replace, language_model.scores,
+                               fingerprints.fingerprints, lambda d: jaccard_join.jaccard_join(d)[0],
+                               lambda d: packing.pack(packing.pieces(d, public_tokenizers.path("byte_bpe_50k.json")))])
+def test_empty(none, f):
+    assert f(none).count() == 0
