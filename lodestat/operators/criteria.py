@@ -72,7 +72,7 @@ def attach_criteria(df: DataFrame, table: DataFrame) -> DataFrame:
         c0, c1, m, b = (F.col(f"_{k}_{c}") for c in cells[1:])
         return F.coalesce(F.col(f"_{k}_fixed"), (c0 - c1 * ln_h) * F.exp(m * ln_h + b)).alias(k)
 
-    joined = df.join(wide, "parameter", "left")
+    joined = df.join(stored(wide), "parameter", "left")  # a measured size: rows are not shuffled to meet it
     return joined.select(*df.columns, *[limit(k) for k in KINDS])
 
 

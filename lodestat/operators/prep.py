@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestat.functions import case_chain, detect, first_word, paste, r_isin, ratio
 from lodestat.operators.relate import attach, bind_rows, distinct_of, full_join
+from lodestat.sources.files import stored
 from lodestat.sources.schema import CANONICAL_NAMES
 
 # Fixed values: (sample, parameter) rows known to be bad.
@@ -28,7 +29,7 @@ CALCIUM_FACTOR, MAGNESIUM_FACTOR = 2.497, 4.118
 
 
 def bad_rows(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(BAD_ROWS, "sample string, parameter string")
+    return stored(spark.createDataFrame(BAD_ROWS, "sample string, parameter string"))
 
 
 def to_canonical(df: DataFrame, names: dict[str, str] | None = None) -> DataFrame:

@@ -18,7 +18,7 @@ from lodestat.functions import (
     t_quantile,
 )
 from lodestat.operators.ordered import ordinal_positions, running_totals
-from lodestat.operators.relate import attach, attach_stats, semi
+from lodestat.operators.relate import anti, attach, attach_stats, semi
 from lodestat.operators.survival import km_from_points
 from lodestat.sources.files import stored
 
@@ -248,7 +248,7 @@ def censored_trend(df: DataFrame, x: str = "year", keys=("parameter", "stream"),
         slopes = _slopes_in_task(points, keys)
     else:
         large = stored(large)
-        small_points = points.join(large, keys, "left_anti")
+        small_points = anti(points, large, keys)
         slopes = _slopes_in_task(small_points, keys).unionByName(
             _slopes_distributed(stored(semi(points, large, keys)), keys).select(
                 *keys, "slope", "s_zero"))

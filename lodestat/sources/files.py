@@ -47,8 +47,8 @@ def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 
 
 def literal_table(spark: SparkSession, rows, schema) -> DataFrame:
-    """Small table written in the program text."""
-    return spark.createDataFrame(rows, schema)
+    """Small table written in the program text, stored so that joins know its size."""
+    return stored(spark.createDataFrame(rows, schema))
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -83,3 +83,9 @@ def test_points(spark):
     assert human.count() == 1 and human.first()["y_min"] == pytest.approx(4.5)
     with pytest.raises(ValueError):
         criteria.criteria_pair(human, "other")
+
+
+def test_limits_reach_the_rows_without_a_shuffle(spark):
+    rows = spark.range(100).selectExpr("concat('p', id) AS parameter", "double(id) AS hardness", "double(id) AS value")
+    plan = criteria.attach_criteria(rows.select("parameter", "hardness"), criteria.criteria_table(spark))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning(parameter" not in plan
