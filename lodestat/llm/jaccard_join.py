@@ -32,6 +32,10 @@ from lodestat.sources.files import stored
 CELLS_FROM, RATIO = 64, 1.5
 #: Members of a leaf, and children of a node, of a signature tree.
 FAN = 16
+#: Members that one side of a task of the tree search holds, on average.
+PART = 2048
+#: Groups of each set that are searched first.
+FEW = 4
 POSTING = np.dtype([("key", "<u8"), ("set", "<i8")])
 
 
@@ -257,8 +261,10 @@ class Tree:
                 a, b = x[i:i + 65536], y[i:i + 65536]
                 ok = ~((first[a] == last[a]) & (first[b] == last[b]) & (first[a] == first[b]))
                 ok &= (high[a] * den >= low[b] * num) & (high[b] * den >= low[a] * num)
+                at = np.flatnonzero(ok)
+                a, b = a[at], b[at]
                 both = np.bitwise_count(bits[a] & bits[b]).sum(axis=1).astype(np.int64)
-                ok &= np.minimum(excess[a], excess[b]) + both >= needed(low[a], low[b], num, den)
+                ok[at] = np.minimum(excess[a], excess[b]) + both >= needed(low[a], low[b], num, den)
                 keep.append(ok)
             keep = np.concatenate(keep)
             x, y = x[keep], y[keep]
@@ -274,16 +280,35 @@ class Tree:
 
 def _walked(num: int, den: int):
     def build(table: pa.Table) -> pa.Table:
-        names, size, label = (table.column(c).to_numpy() for c in ("set", "size", "label"))
+        names, size, label, own, upper = (table.column(c).to_numpy(zero_copy_only=False) for c in ("set", "size", "label", "own", "upper"))
         blobs = table.column("bits").to_pylist()
         width = min(map(len, blobs))
         bits = np.stack([_folded(b, width) for b in blobs])
         a, b = Tree(size, bits, label).pairs(num, den)
-        a, b = names[a], names[b]
+        # two sets above the cell's band meet in the next cell, two of one part where it meets itself
+        here = ~(upper[a] & upper[b]) & ((own[a] != own[b]) | (table.column("i")[0].as_py() == table.column("j")[0].as_py()))
+        a, b = names[a[here]], names[b[here]]
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
     return build
 
 
+def _parted(member: DataFrame, num: int, den: int) -> DataFrame:
+    """Members of groups with several components, dealt to tasks of at most about twice PART members.
+
+    Linked sets lie in the same band of sizes or in neighbouring ones, so a cell is a band and the one
+    above it. A crowded cell is cut into parts by hash and every two parts, and each with itself, meet.
+    """
+    step = float(np.log(den / num) * 1.001) if num < den else 1e-9
+    band = F.floor(F.log(F.col("size").cast("double")) / step)
+    cells = member.withColumn("at", F.explode(F.array(F.struct(band.alias("cell"), F.lit(False).alias("upper")),
+                                                      F.struct((band - 1).alias("cell"), F.lit(True).alias("upper"))))).select("group", "set", "size", "label", "at.*")
+    mixed = stored(cells.groupBy("group", "cell").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.bool_and("upper").alias("above"), F.count("*").alias("n"))
+                   .where("x <> y and not above").select("group", "cell", F.ceil(F.col("n") / PART).cast("int").alias("parts")))
+    own = F.pmod(F.xxhash64("set"), F.col("parts")).cast("int")
+    return (cells.join(mixed, ["group", "cell"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+            .select("group", "cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "upper", "set", "size", "label"))
+
+
 def _with_sets(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
     for end in ("a", "b"):
         pairs = pairs.join(sets.select(F.col("set").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in columns)), end)
@@ -317,16 +342,17 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFr
     links = _checked(pairs, sets, num, den)
     labels = components(links)
     groups = met.where("members is not null").dropDuplicates(["a"]).select(F.col("a").alias("group"), "members")
-    member = groups.mapInArrow(_members, "group long, set long").join(
-        labels.select(F.col("node").alias("set"), "label"), "set", "left").withColumn("label", F.coalesce("label", "set"))
-    member = stored(member)
-    mixed = member.groupBy("group").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("group")
-    more = (member.join(mixed, "group").join(sets.select("set", "size", "bits"), "set")
-            .groupBy("group").applyInArrow(_walked(num, den), "a long, b long").distinct())
-    more = _checked(more, sets, num, den)
-    if not more.isEmpty():
-        links = links.union(more)
-        labels = components(links)
+    member = stored(groups.mapInArrow(_members, "group long, set long").join(sets.select("set", "size"), "set"))
+    # near copies meet in many groups: most are joined in a few groups of each first, so that the others hold one component
+    few = stored(member.groupBy("set").agg(F.slice(F.array_sort(F.collect_set("group")), 1, FEW).alias("group")).select("set", F.explode("group").alias("group")))
+    for some in (member.join(few, ["set", "group"], "left_semi"), member):
+        labelled = stored(some.join(labels.select(F.col("node").alias("set"), "label"), "set", "left").withColumn("label", F.coalesce("label", "set")))
+        more = (_parted(labelled, num, den).join(sets.select("set", "bits"), "set")
+                .groupBy("group", "cell", "i", "j").applyInArrow(_walked(num, den), "a long, b long").distinct())
+        more = _checked(more, sets, num, den)
+        if not more.isEmpty():
+            links = stored(links.union(more))
+            labels = components(links)
     of = named.join(labels.select(F.col("node").alias("set"), "label"), "set", "left").withColumn("label", F.coalesce("label", "set"))
     least = stored(of.where("n_shingles > 0").groupBy("label").agg(F.min("doc_id").alias("component_id"), F.min(F.struct("_doc", "_row")).alias("_first")))
     rows = of.join(least, "label", "left").select(
