@@ -35,7 +35,7 @@ FAN = 16
 #: Members that one side of a task of the tree search holds, on average.
 PART = 2048
 #: Groups of each set that are searched first.
-FEW = 4
+FEW = 8
 POSTING = np.dtype([("key", "<u8"), ("set", "<i8")])
 
 
@@ -278,7 +278,16 @@ class Tree:
         return self.order[x[different]], self.order[y[different]]
 
 
-def _walked(num: int, den: int):
+def _met_before(x: np.ndarray, y: np.ndarray, group: int, again: bool) -> np.ndarray:
+    """Whether two sets share one of their first groups: any of them if those are done, else one before this."""
+    out = np.zeros(len(x), bool)
+    for i in range(FEW):
+        for j in range(FEW):
+            out |= (x[:, i] == y[:, j]) & (x[:, i] != 0) & (again | (x[:, i] < group))
+    return out
+
+
+def _walked(num: int, den: int, again: bool):
     def build(table: pa.Table) -> pa.Table:
         names, size, label, own, upper = (table.column(c).to_numpy(zero_copy_only=False) for c in ("set", "size", "label", "own", "upper"))
         blobs = table.column("bits").to_pylist()
@@ -287,7 +296,10 @@ def _walked(num: int, den: int):
         a, b = Tree(size, bits, label).pairs(num, den)
         # two sets above the cell's band meet in the next cell, two of one part where it meets itself
         here = ~(upper[a] & upper[b]) & ((own[a] != own[b]) | (table.column("i")[0].as_py() == table.column("j")[0].as_py()))
-        a, b = names[a[here]], names[b[here]]
+        a, b = a[here], b[here]
+        first = np.array([f + [0] * (FEW - len(f)) for f in table.column("first").to_pylist()], np.int64)
+        new = ~_met_before(first[a], first[b], table.column("group")[0].as_py(), again)
+        a, b = names[a[new]], names[b[new]]
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
     return build
 
@@ -344,11 +356,13 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFr
     groups = met.where("members is not null").dropDuplicates(["a"]).select(F.col("a").alias("group"), "members")
     member = stored(groups.mapInArrow(_members, "group long, set long").join(sets.select("set", "size"), "set"))
     # near copies meet in many groups: most are joined in a few groups of each first, so that the others hold one component
-    few = stored(member.groupBy("set").agg(F.slice(F.array_sort(F.collect_set("group")), 1, FEW).alias("group")).select("set", F.explode("group").alias("group")))
-    for some in (member.join(few, ["set", "group"], "left_semi"), member):
+    # and a pair is taken up only in the first of those that its sets share
+    few = stored(member.groupBy("set").agg(F.slice(F.array_sort(F.collect_set("group")), 1, FEW).alias("first")))
+    chosen = few.select("set", F.explode("first").alias("group"))
+    for some, again in ((member.join(chosen, ["set", "group"], "left_semi"), False), (member, True)):
         labelled = stored(some.join(labels.select(F.col("node").alias("set"), "label"), "set", "left").withColumn("label", F.coalesce("label", "set")))
-        more = (_parted(labelled, num, den).join(sets.select("set", "bits"), "set")
-                .groupBy("group", "cell", "i", "j").applyInArrow(_walked(num, den), "a long, b long").distinct())
+        more = (_parted(labelled, num, den).join(sets.select("set", "bits"), "set").join(few, "set")
+                .groupBy("group", "cell", "i", "j").applyInArrow(_walked(num, den, again), "a long, b long").distinct())
         more = _checked(more, sets, num, den)
         if not more.isEmpty():
             links = stored(links.union(more))
