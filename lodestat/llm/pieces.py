@@ -21,12 +21,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lodestat.llm.text import buffer, slices
+from lodestat.llm.text import buffer, group_starts, slices
 
 BLANK = "▁"
 WORD = re.compile(f"{BLANK}+[^{BLANK}]*")
 #: Entries of a task's tables of words and pairs; beyond that they start anew.
 TABLE = 500_000
+FREE, START = -9, -2
+#: Bytes of a character by the upper half of its first byte.
+CHAR_WIDTH = np.array([1] * 12 + [2, 2, 3, 4])
 
 
 class Matcher:
@@ -42,23 +45,47 @@ class Matcher:
         self.value = {i: b for b, i in self.byte.items()}
         self.pieces = sorted((self.texts[i].encode(), i) for i in plain)
         self.width = max(len(p) for p, _ in self.pieces)
+        kind = f"S{self.width}"
+        self.low = np.array([p for p, _ in self.pieces], kind)
+        self.high = np.array([p + b"\xff" * (self.width - len(p)) for p, _ in self.pieces], kind)
+        self.sizes, self.numbers = np.array([len(p) for p, _ in self.pieces]), np.array([i for _, i in self.pieces])
         self.words: dict[str, list[int]] = {}
-        self.stay: dict[tuple[int, int], bool] = {}
+        #: Pairs of neighbours looked at so far, and whether they stay.
+        self.pairs, self.stays = np.zeros(0, np.int64), np.zeros(0, bool)
 
     def _stays(self, a: int, b: int) -> bool:
         """Whether two neighbouring pieces, merged anew, give themselves."""
-        found = self.stay.get((a, b))
-        if found is None:
-            x, y = self.texts[a], self.texts[b]
-            parts = list(x + y)
-            while len(parts) > 1:
-                best = max(((self.score.get(p + q, -np.inf), -i) for i, (p, q) in enumerate(zip(parts, parts[1:], strict=False))))
-                if best[0] == -np.inf:
-                    break
-                i = -best[1]
-                parts[i:i + 2] = [parts[i] + parts[i + 1]]
-            found = self.stay[a, b] = parts == [x, y]
-        return found
+        x, y = self.texts[a], self.texts[b]
+        score = self.score
+        if not any(x[i:] + y[:j] in score for i in range(len(x)) for j in range(1, len(y) + 1)):
+            return True  # no piece crosses the border
+        parts = list(x + y)
+        border = len(x)
+        while len(parts) > 1:
+            best, at, place, i = -np.inf, -1, 0, 0
+            for i in range(len(parts) - 1):
+                value = score.get(parts[i] + parts[i + 1], -np.inf)
+                if value > best:
+                    best, at = value, i
+            if at < 0:
+                break
+            place = sum(map(len, parts[:at + 1]))
+            if place == border:
+                return False
+            parts[at:at + 2] = [parts[at] + parts[at + 1]]
+        return parts == [x, y]
+
+    def _all_stay(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """``_stays`` of many pairs, each different one worked out once."""
+        keys, of = np.unique(a * len(self.texts) + b, return_inverse=True)
+        place = np.searchsorted(self.pairs, keys)
+        known = np.append(self.pairs, -1)[place] == keys
+        new = keys[~known]
+        if len(new):
+            fresh = [self._stays(*divmod(k, len(self.texts))) for k in new.tolist()]
+            self.pairs, self.stays = np.insert(self.pairs, place[~known], new), np.insert(self.stays, place[~known], fresh)
+            place = np.searchsorted(self.pairs, keys)
+        return self.stays[place][of]
 
     def _match(self, words: list[str]) -> None:
         """Encodes new words."""
@@ -67,29 +94,37 @@ class Matcher:
         suffix = np.lib.stride_tricks.sliding_window_view(data, self.width).copy().view(f"S{self.width}").ravel()
         order = np.argsort(suffix, kind="stable")
         suffix = suffix[order]
-        low = np.searchsorted(suffix, np.array([p for p, _ in self.pieces], suffix.dtype))
-        ends = [p + b"\xff" * (self.width - len(p)) for p, _ in self.pieces]
-        high = np.searchsorted(suffix, np.array(ends, suffix.dtype), side="right")
+        low, high = np.searchsorted(suffix, self.low), np.searchsorted(suffix, self.high, side="right")
         n = high - low
         start = order[np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
-        size, piece = (np.repeat(np.array(x), n) for x in ([len(p) for p, _ in self.pieces], [i for _, i in self.pieces]))
+        size, piece = np.repeat(self.sizes, n), np.repeat(self.numbers, n)
         # characters without a piece
-        lead = np.flatnonzero((data != 0) & (data & 0xC0 != 0x80))
-        alone = np.setdiff1d(lead, start[np.isin(start + size, np.append(lead, np.flatnonzero(data == 0)))
-                                         & (size == np.array([1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 2, 2, 3, 4])[data[start] >> 4])])
-        width = np.array([1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 1, 2, 2, 3, 4])[data[alone] >> 4]
-        start, end, piece = np.append(start, alone), np.append(start + size, alone + width), np.append(piece, np.full(len(alone), -1))
-        by_end = np.lexsort((start, end))
+        lead = (data != 0) & (data & 0xC0 != 0x80)
+        whole = lead[start] & (size == CHAR_WIDTH[data[start] >> 4])
+        lead[start[whole]] = False
+        alone = np.flatnonzero(lead)
+        start, end, piece = np.append(start, alone), np.append(start + size, alone + CHAR_WIDTH[data[alone] >> 4]), np.append(piece, np.full(len(alone), -1))
         begins = np.append(0, np.cumsum([len(r) + 1 for r in raw]))
-        last: dict[int, tuple[int, int]] = {int(b): (-2, -1) for b in begins[:-1]}
-        for s, e, p in zip(start[by_end].tolist(), end[by_end].tolist(), piece[by_end].tolist(), strict=True):
-            before = last.get(s)
-            if before is not None and e not in last and (before[0] < 0 or p < 0 or self._stays(before[0], p)):
-                last[e] = (p, s)
+        reach = end - begins[np.searchsorted(begins, start, side="right") - 1]  # of the edge's end in its word
+        order = np.argsort(reach * len(data) + start)
+        start, end, piece, reach = start[order], end[order], piece[order], reach[order]
+        # all words at once, one end after the other; FREE: not reached, START: nothing before
+        last, came = np.full(len(data) + 1, FREE), np.zeros(len(data) + 1, np.int64)
+        last[begins[:-1]] = START
+        at = group_starts(reach)
+        for i, j in zip(at.tolist(), np.append(at[1:], len(reach)).tolist(), strict=True):
+            s, e, p = start[i:j], end[i:j], piece[i:j]
+            before = last[s]
+            ok = before != FREE
+            test = np.flatnonzero(ok & (before >= 0) & (p >= 0))
+            ok[test] = self._all_stay(before[test], p[test])
+            s, e, p = s[ok][::-1], e[ok][::-1], p[ok][::-1]  # the longest piece of several is written last
+            last[e], came[e] = p, s
+        last, came = last.tolist(), came.tolist()
         for w, a, r in zip(words, begins[:-1].tolist(), raw, strict=True):
             at, path = a + len(r), []
             while at > a:
-                p, s = last[at]
+                p, s = last[at], came[at]
                 path.append([p] if p >= 0 else [self.byte[x] for x in r[s - a:at - a]])
                 at = s
             self.words[w] = [i for x in reversed(path) for i in x]
@@ -97,8 +132,8 @@ class Matcher:
     def encode(self, texts: list[str | None]) -> list[list[int] | None]:
         if len(self.words) > TABLE:
             self.words.clear()
-        if len(self.stay) > TABLE:
-            self.stay.clear()
+        if len(self.pairs) > TABLE:
+            self.pairs, self.stays = self.pairs[:0], self.stays[:0]
         cut = [None if t is None else WORD.findall(BLANK + t.replace(" ", BLANK)) if t else [] for t in texts]
         new = list({w for c in cut if c for w in c}.difference(self.words))
         if new:
@@ -118,7 +153,7 @@ def _encoded(path: str):
         matcher = Matcher(path)
         for batch in batches:
             _, offsets = buffer(batch.column("text"))
-            for a, b in slices(offsets, 1 << 20):
+            for a, b in slices(offsets, 2 << 20):
                 texts = batch.column("text")[a:b].to_pylist()
                 ids = matcher.encode(texts)
                 same = [None if t is None else matcher.decode(i) == t for t, i in zip(texts, ids, strict=True)]
