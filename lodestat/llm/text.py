@@ -108,6 +108,8 @@ def group_starts(*keys: np.ndarray) -> np.ndarray:
 
 def by_bucket(buckets: np.ndarray, records: np.ndarray) -> Iterator[tuple[int, bytes]]:
     """The records of each bucket as bytes."""
+    if not len(records):
+        return
     order = np.argsort(buckets, kind="stable")
     buckets, records = buckets[order], records[order]
     at = group_starts(buckets)
