@@ -16,6 +16,7 @@ holds the blank sign itself decodes to a blank there.
 from __future__ import annotations
 
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +43,10 @@ class Matcher:
         self.score = {self.texts[i]: model.get_score(i) for i in plain}
         self.ids = {self.texts[i]: i for i in plain}
         self.byte = {int(self.texts[i][3:5], 16): i for i in range(n) if model.is_byte(i)}
-        self.value = {i: b for b, i in self.byte.items()}
+        self.bytes = [t.encode() for t in self.texts]
+        for b, i in self.byte.items():
+            self.bytes[i] = bytes([b])
+        self.byte_ids = np.array([self.byte[b] for b in range(256)])
         self.pieces = sorted((self.texts[i].encode(), i) for i in plain)
         self.width = max(len(p) for p, _ in self.pieces)
         kind = f"S{self.width}"
@@ -120,14 +124,22 @@ class Matcher:
             ok[test] = self._all_stay(before[test], p[test])
             s, e, p = s[ok][::-1], e[ok][::-1], p[ok][::-1]  # the longest piece of several is written last
             last[e], came[e] = p, s
-        last, came = last.tolist(), came.tolist()
-        for w, a, r in zip(words, begins[:-1].tolist(), raw, strict=True):
-            at, path = a + len(r), []
-            while at > a:
-                p, s = last[at], came[at]
-                path.append([p] if p >= 0 else [self.byte[x] for x in r[s - a:at - a]])
-                at = s
-            self.words[w] = [i for x in reversed(path) for i in x]
+        # back from the ends of all words, a piece of each at a time
+        word, at, steps = np.arange(len(words)), begins[1:] - 1, []
+        while len(word):
+            steps.append((word, came[at], at, last[at]))
+            at = came[at]
+            going = at > begins[word]
+            word, at = word[going], at[going]
+        word, start, end, piece = (np.concatenate(x)[::-1] for x in zip(*steps, strict=True))
+        order = np.argsort(word, kind="stable")
+        word, start, end, piece = word[order], start[order], end[order], piece[order]
+        n = np.where(piece >= 0, 1, end - start)  # a character without a piece gives its bytes
+        place = np.repeat(start, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        piece = np.repeat(piece, n)
+        ids = np.where(piece >= 0, piece, self.byte_ids[data[place]]).tolist()
+        ends = np.cumsum(np.bincount(word, n, len(words)).astype(np.int64)).tolist()
+        self.words.update(zip(words, (ids[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
 
     def encode(self, texts: list[str | None]) -> list[list[int] | None]:
         if len(self.words) > TABLE:
@@ -138,13 +150,12 @@ class Matcher:
         new = list({w for c in cut if c for w in c}.difference(self.words))
         if new:
             self._match(new)
-        return [None if c is None else [i for w in c for i in self.words[w]] for c in cut]
+        return [None if c is None else list(chain.from_iterable(map(self.words.__getitem__, c))) for c in cut]
 
     def decode(self, ids: list[int] | None) -> str | None:
         if ids is None:
             return None
-        raw = b"".join(bytes([self.value[i]]) if i in self.value else self.texts[i].encode() for i in ids)
-        text = raw.decode("utf-8", "replace").replace(BLANK, " ")
+        text = b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace").replace(BLANK, " ")
         return text[1:] if text.startswith(" ") else text
 
 
