@@ -2,9 +2,11 @@
 
 Terms are pairs of neighbouring words (A-Z lower-cased; a text of one word is one term), weighted by
 how often they occur. For each of ``SAMPLES`` samples every term has gamma-distributed values r and c
-and a uniform value; the term of the smallest derived value is the sample. Two samples agree with the
-probability of the generalised Jaccard similarity of the weights. Terms share ``TERMS`` table rows by
-hash, so the tables are bounded.
+and a uniform value beta, hashed from its whole 64-bit fingerprint; the term of the smallest derived
+value, with its level t, is the sample. Two samples agree with the probability of the generalised
+Jaccard similarity of the weights. As r = v + e and c = x + y are sums of exponential values with
+v = -log(x / c) and beta = e / r, a term of weight w has the level t = floor((log w + e) / r) and the
+value x * exp(-r * t); at level 0 that is x alone, so the other draws are made for repeated terms only.
 
 Null or empty texts and texts without words have the same fingerprint. The next document is the next
 row in order of doc_id (nulls first, then a hash of the text), after the last the first; a single row
@@ -21,24 +23,54 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestat.llm.repeats import with_keys
-from lodestat.llm.text import Fingerprints, group_starts, slices, word_values
+from lodestat.llm.text import Fingerprints, group_starts, mix, slices, word_values
 
-SAMPLES, TERMS, SEED = 64, 1 << 15, 11
+SAMPLES, SEED = 64, 11
 #: Bytes of text whose samples are drawn at once.
 AT_ONCE = 1 << 20
+#: Terms hashed at once.
+TERMS_AT_ONCE = 1 << 13
+
+
+def _uniform(h: np.ndarray) -> np.ndarray:
+    return ((h >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
 class Sampler:
     def __init__(self):
-        rng = np.random.default_rng(SEED)
-        self.r, self.c = (rng.gamma(2.0, 1.0, (TERMS, SAMPLES)).astype(np.float32) for _ in range(2))
-        self.beta = rng.random((TERMS, SAMPLES), np.float32)
-        self.once = self._values(np.arange(TERMS), np.ones(TERMS))
+        self.salt = np.random.default_rng(SEED).integers(1, 2**64, (3, SAMPLES), dtype=np.uint64)
+
+    def _least(self, term: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """The smallest hash of each text's terms for each sample."""
+        cuts = np.arange(0, len(term), TERMS_AT_ONCE)
+        piece = np.union1d(start, cuts)
+        at = np.append(np.searchsorted(piece, cuts), len(piece))
+        out = np.empty((SAMPLES, len(piece)), np.uint64)
+        for k, a in enumerate(cuts.tolist()):
+            some, begin = term[a:a + TERMS_AT_ONCE], piece[at[k]:at[k + 1]] - a
+            for s in range(SAMPLES):
+                out[s, at[k]:at[k + 1]] = np.minimum.reduceat(mix(some + self.salt[0, s]), begin)
+        return np.minimum.reduceat(out, np.searchsorted(piece, start), axis=1)
 
-    def _values(self, term, weight):
-        r, beta = self.r[term], self.beta[term]
-        t = np.floor(np.log(weight)[:, None].astype(np.float32) / r + beta)
-        return self.c[term] * np.exp(-r * (t - beta) - r)
+    def _samples(self, term: np.ndarray, weight: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """Sixteen bits of the chosen term and level of each text, for each sample."""
+        least = self._least(term, start)
+        level = np.zeros(least.shape, np.int64)
+        more = np.flatnonzero(weight > 1)
+        if len(more):
+            term, of, log = term[more], np.searchsorted(start, more, side="right") - 1, np.log(weight[more])
+            begin = group_starts(of)
+            size = np.diff(np.append(begin, len(of)))
+            for s in range(SAMPLES):
+                h = mix(term + self.salt[0, s])
+                x, e, y = -np.log1p(-_uniform(h)), *(-np.log(_uniform(mix(term + self.salt[i, s]))) for i in (1, 2))
+                r = e - np.log(x / (x + y))
+                t = np.floor((log + e) / r)
+                value = x * np.exp(-r * t)
+                best = np.minimum(np.minimum.reduceat(value, begin), -np.log1p(-_uniform(least[s, of[begin]])))
+                won = np.flatnonzero((t > 0) & (value == np.repeat(best, size)))
+                least[s, of[won]], level[s, of[won]] = h[won], t[won].astype(np.int64)
+        return mix(least ^ mix(level)) >> np.uint64(48)
 
     def signatures(self, texts: list[str]) -> np.ndarray:
         """Sixteen bits of each sample of each text."""
@@ -58,15 +90,11 @@ class Sampler:
             text = np.repeat(np.arange(b - a), count)
             new = group_starts(text, h)
             weight = np.diff(np.append(new, len(h)))
-            text, term = text[new], (h[new] & np.uint64(TERMS - 1)).astype(np.int64)
+            text, term = text[new], h[new]
             if not len(term):
                 continue
-            found = self.once[term]
-            more = np.flatnonzero(weight > 1)
-            found[more] = self._values(term[more], weight[more])
             start = group_starts(text)
-            least = np.minimum.reduceat(found, start, axis=0).view(np.uint32).astype(np.uint64)
-            out[a + text[start]] = (least * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)
+            out[a + text[start]] = self._samples(term, weight, start).T
         return out
 
 

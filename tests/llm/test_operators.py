@@ -178,6 +178,42 @@ def test_fingerprints(docs):
     assert rows[0].fingerprint == rows[1].fingerprint and rows[0].near_next == 1.0
 
 
+def test_fingerprints_of_long_texts(spark):
+    rng = random.Random(8)
+    own = lambda k, n: [f"{k}{rng.randrange(10**6)}" for _ in range(n)]
+    first, common = own("a", 24_000), own("c", 12_000)
+    texts = [first, own("b", 24_000), common + own("d", 12_000), common + own("e", 12_000), common[:8_000] * 3, common[:8_000] * 2 + own("f", 4_000)]
+    texts = [" ".join(t) for t in texts]
+
+    def likeness(a, b):
+        a, b = ({}, a), ({}, b)
+        for count, t in (a, b):
+            w = words(t, lower=True)
+            for pair in zip(w, w[1:], strict=False):
+                count[pair] = count.get(pair, 0) + 1
+        a, b = a[0], b[0]
+        both = sum(min(n, b.get(k, 0)) for k, n in a.items())
+        return both / (sum(a.values()) + sum(b.values()) - both)
+
+    rows = {r.doc_id: r for r in fingerprints.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    sure = []
+    for i, t in enumerate(texts):
+        following = texts[(i + 1) % len(texts)]
+        edited = t[:len(t) - len(t) // 4] + following[:len(t) // 4]
+        for got, true in ((rows[i].near_next, likeness(t, following)), (rows[i].near_edited, likeness(t, edited))):
+            assert abs(got - true) < 0.01 + 4 * (true * (1 - true) / fingerprints.SAMPLES) ** 0.5
+            sure.append(got - true)
+    assert rows[0].near_next == 0 and abs(sum(sure) / len(sure)) < 0.06
+    # repeated terms: the mean over many pairs
+    sampler, off = fingerprints.Sampler(), []
+    for k in range(60):
+        w = own(f"g{k}", 30)
+        a, b = (" ".join(f"{x} |" for x in w for _ in range(rng.choice((1, 1, 2, 3, 9)))) for _ in range(2))
+        x, y = sampler.signatures([a, b])
+        off.append((x == y).mean() - likeness(a, b))
+    assert abs(sum(off) / len(off)) < 0.03
+
+
 def test_pieces():
     import sentencepiece
     path = public_tokenizers.path("piece_bpe_32k.model")
