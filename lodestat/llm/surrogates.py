@@ -32,8 +32,6 @@ PATTERNS = {
     "name": r"(?:Mr|Mrs|Ms|Miss|Mister|Herr|Frau|Mme|Monsieur|Madame|Señor|Señora|Sr|Sra|г-н|г-жа)\.? \p{Lu}\p{Ll}+(?:[ -]\p{Lu}\p{Ll}+)?",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: A text without any of these holds no entity.
-HINT = r"[0-9@]|[Pp]ass|PASS|[Pp]wd|PWD|[Ss]ecret|SECRET|[Tt]oken|TOKEN|[Kk]ey|KEY|M(?:r|s|iss|me|adame|onsieur)|Herr|Frau|S(?:r|eñor)|г-"
 #: What stands before the part that is replaced.
 LEADS = {"secret": r"^(?i:password|passwd|pwd|secret|token|api[_-]?key)\s{0,2}[=:]\s{0,2}[\"']?", "access": r"^(?:AKIA|ASIA)", "iban": r"^[A-Z]{2}",
          "name": r"^\S+ ", "card": r"^\d", "phone": r"^(?:\+\d{1,3}[ .-]?)?"}
@@ -138,7 +136,7 @@ def replace(docs: DataFrame, key: str = "surrogates") -> DataFrame:
     spare = [c for c in ("_doc", "_row", "_all", "n_entities") if c in docs.columns]
     docs = docs.drop(*spare)
     docs = docs.withColumn("_doc", F.xxhash64("doc_id", "text")).withColumn("_row", F.xxhash64(F.lit(1), "text", "doc_id"))
-    found = stored(docs.where(F.col("text").rlike(HINT)).select("_doc", "_row", F.expr("regexp_extract_all(text, r'" + ANY.replace("'", "\\x27") + "', 0)").alias("found"))
+    found = stored(docs.where("text is not null").select("_doc", "_row", F.expr("regexp_extract_all(text, r'" + ANY.replace("'", "\\x27") + "', 0)").alias("found"))
                    .where(F.size("found") > 0).dropDuplicates(["_doc", "_row"]).select("_doc", "_row", F.posexplode("found").alias("place", "value"))
                    .withColumn("kind", F.coalesce(kind_of(F.col("value")), F.lit("other"))))
     known = assign(found, key)
