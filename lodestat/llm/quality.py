@@ -2,7 +2,9 @@
 
 Each class of labelled text (wanted, low quality, toxic) has a generative model: the share of its
 texts in which a hashed n-gram occurs at a level of frequency. N-grams are words, word beginnings,
-word ends, repeats of the word before and words in capitals. A class shares the wanted model wherever it
+word ends, repeats of the word before and words in capitals, and are counted in blocks of at most ``BLOCK``
+words that cut a text into equal parts: a text holds an n-gram if one of its blocks does, and the
+odds of a class are the mean over the blocks of a text, so the strongest ones decide. A class shares the wanted model wherever it
 doesn't hold an n-gram significantly and several times more often. Raw text is the mixture of the
 classes at their labelled shares, so the importance weight of a text is p(wanted) / p(raw). Texts are
 sampled by Gumbel top-k: ``sharpness`` times the log weight plus a Gumbel value drawn from a hash of
@@ -35,8 +37,8 @@ LEVELS = 5
 SIGNIFICANT = 6.0
 #: ... and its share is so many times larger (as a logarithm).
 LARGER = 3.0
-#: The evidence of a longer text is scaled down to so many words.
-TEMPERED = 400
+#: Longer texts are cut into equal blocks of at most so many words.
+BLOCK = 400
 #: Log weights are told apart in steps of this size, down to the lowest, when the bound is sought.
 STEP, LOWEST = 0.25, -50.0
 WANTED, LOW, TOXIC = 0, 1, 2
@@ -44,7 +46,7 @@ CAPITAL = np.isin(np.arange(256), np.arange(65, 91))
 
 
 def features(data: np.ndarray, offsets: np.ndarray):
-    """Buckets of all texts' n-grams, each once; where each text's begin; the words of each text."""
+    """Buckets of all blocks' n-grams, each once in a block; where each block's begin; the first block of each text and the number of all; the words of each text."""
     starts, ends, begin = word_spans(data, offsets)
     raw, low = Fingerprints(BYTE_VALUES[data]), Fingerprints(BYTE_VALUES[LOWER[data]])
     whole = low.of(starts, ends)
@@ -56,7 +58,12 @@ def features(data: np.ndarray, offsets: np.ndarray):
     capitals = np.append(0, np.cumsum(CAPITAL[data]))
     shout = (capitals[ends] - capitals[starts]) >= 2
     flags = mix(again.astype(np.uint64) + np.uint64(2) * shout.astype(np.uint64) + np.uint64(1000))
-    n = len(begin) - 1
+    words = np.diff(begin)
+    blocks = np.maximum(1, -(-words // BLOCK))
+    first_block = np.append(0, np.cumsum(blocks))
+    n = int(first_block[-1])
+    of = np.repeat(np.arange(len(words)), blocks)
+    begin = np.append(begin[of] + (np.arange(n) - first_block[of]) * words[of] // blocks[of], begin[-1:])
     each = np.stack([whole, head, tail, flags], axis=1).reshape(-1)
     at = 4 * begin
     for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
@@ -70,7 +77,7 @@ def features(data: np.ndarray, offsets: np.ndarray):
     text = np.append(text, text[often])
     each = np.append(mix(each), mix(each[often] + np.uint64(1) + np.maximum(level[often], 0).astype(np.uint64)))
     order = np.argsort(text, kind="stable")
-    return (each[order] & np.uint64(BUCKETS - 1)).astype(np.int64), np.searchsorted(text[order], np.arange(n + 1)), np.diff(begin)
+    return (each[order] & np.uint64(BUCKETS - 1)).astype(np.int64), np.searchsorted(text[order], np.arange(n + 1)), first_block, words
 
 
 def _sampled(batches):
@@ -89,9 +96,10 @@ def _counted(batches):
         data, offsets = buffer(batch.column("text"))
         kind = batch.column("kind").to_numpy(zero_copy_only=False)
         for a, b in slices(offsets):
-            bucket, at, _ = features(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
-            of = np.repeat(kind[a:b], np.diff(at)).astype(np.int64)
-            text = np.repeat(np.arange(b - a), np.diff(at))
+            bucket, at, block, _ = features(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
+            n = np.diff(at[block])
+            of = np.repeat(kind[a:b], n).astype(np.int64)
+            text = np.repeat(np.arange(b - a), n)
             once = np.unique(np.stack([text, of, bucket]), axis=1) if len(bucket) else np.zeros((3, 0), np.int64)
             np.add.at(total, (once[1], once[2]), 1)
             np.add.at(total[:, BUCKETS], kind[a:b], 1)
@@ -132,11 +140,11 @@ def _weighed(ratio: np.ndarray, share: np.ndarray):
             data, offsets = buffer(batch.column("text"))
             out = [np.zeros(0)]
             for a, b in slices(offsets):
-                bucket, at, words = features(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
+                bucket, at, block, words = features(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
                 odds = []
                 for k in (LOW, TOXIC):
                     total = np.append(0, np.cumsum(ratio[k][bucket]))
-                    evidence = (total[at[1:]] - total[at[:-1]]) / np.maximum(1, words / TEMPERED)
+                    evidence = np.logaddexp.reduceat(total[at[1:]] - total[at[:-1]], block[:-1]) - np.log(np.diff(block))
                     odds.append(prior[k] + np.where(words > 0, evidence, np.minimum(0, -5 - prior[k])))
                 out.append(-np.logaddexp(0, np.logaddexp(*odds)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_doc"), batch.column("_row"), pa.array(np.concatenate(out))],

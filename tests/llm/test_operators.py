@@ -251,6 +251,28 @@ def test_quality(spark):
     assert all(kept[i] == (i % 4 != 0) for i in range(400)) and kept[900] and kept[901]
 
 
+def test_quality_of_long_texts(spark):
+    rng = random.Random(4)
+    plain, bad = [f"sun{i}" for i in range(40)], [f"{c}cum{i}" for i, c in enumerate("qwertyuiop")]
+
+    def text(n, every=0):
+        out = [rng.choice(plain) for _ in range(n)]
+        if every:
+            out[every // 2::every] = [rng.choice(bad) for _ in out[every // 2::every]]
+        return " ".join(out)
+
+    rows = [(i, text(60, 8 * (i % 4 == 0))) for i in range(400)]
+    # each planted word is rarer than 1/32 of a long text; one passage; planted words far apart; clean ones
+    toxic = [text(n, 4) for n in (20_000, 60_000, 200_000)] + [text(30_000) + " " + text(100, 5) + " " + text(30_000), text(40_000, 150)]
+    clean = [text(n) for n in (20_000, 60_000, 200_000)]
+    rows += list(enumerate([*toxic, *clean], 1000))
+    labels = [(i, 1, int(i % 4 == 0)) for i in range(400)]
+    got = {r.doc_id: r for r in quality.resample(spark.createDataFrame(rows, "doc_id long, text string"),
+                                                 spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    assert all(not got[i].kept and got[i].log_weight < -5 for i in range(1000, 1000 + len(toxic)))
+    assert all(got[i].kept for i in range(1000 + len(toxic), 1000 + len(toxic) + len(clean)))
+
+
 @pytest.mark.parametrize("f", [substring_dedup.digests, suffix_dedup.digests, substring_dedup.cleaned, surrogates.replace, language_model.scores,
                                fingerprints.fingerprints, lambda d: jaccard_join.jaccard_join(d)[0],
                                lambda d: packing.pack(packing.pieces(d, public_tokenizers.path("byte_bpe_50k.json")))])
