@@ -185,6 +185,40 @@ def test_language_model(docs):
         assert r.score < 0
 
 
+def test_language_model_scores(docs, spark):
+    import math
+
+    import numpy as np
+
+    from lodestat.llm.text import mix, word_values
+    # two words that share one of 2**20 hashed classes
+    names = [f"v{i}" for i in range(6000)]
+    raw = " ".join(names).encode()
+    values = word_values(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0]
+    seen, shared = {}, None
+    for w, c in zip(names, (mix(values) % np.uint64(1 << 20)).tolist(), strict=True):
+        shared = shared or (c in seen and (seen[c], w))
+        seen[c] = w
+    hot, rare = shared
+    texts = [f"{hot} sun " * 300, f"{rare} moon {rare} sun", f"x {rare} moon", f"{hot} sun {hot} moon"] * 2
+    for case in (corpus(), list(enumerate(texts))):
+        tokens = {d: [None, *words(t, lower=True), None] for d, t in case}
+        one, two, before = {}, {}, {}
+        for d, w in tokens.items():
+            if zlib.crc32(str(d).encode()) % 5 != 1:
+                for i, (u, v) in enumerate(zip(w, w[1:], strict=False)):
+                    u = u if i else "<start>"
+                    one[v], two[u, v], before[u] = one.get(v, 0) + 1, two.get((u, v), 0) + 1, before.get(u, 0) + 1
+        total, mass = sum(one.values()), language_model.MASS
+        for r in language_model.scores(docs if len(case) > len(texts) else spark.createDataFrame(case, "doc_id long, text string")).collect():
+            w, want = tokens[r.doc_id], 0
+            for i, (u, v) in enumerate(zip(w, w[1:], strict=False)):
+                u = u if i else "<start>"
+                base = (one.get(v, 0) + .5) / (total + .5 * (len(one) + 1))
+                want += math.log10((two.get((u, v), 0) + mass * base) / (before.get(u, 0) + mass))
+            assert abs(r.score - want) <= (len(w) - 1) * language_model.STEP
+
+
 def test_fingerprints(docs):
     rows = {r.doc_id: r for r in fingerprints.fingerprints(docs).collect()}
     texts = [t or "" for _, t in corpus()]
