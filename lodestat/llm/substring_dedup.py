@@ -1,9 +1,9 @@
-"""Substring deduplication over words, as a relative Lempel-Ziv parse.
+"""Substring deduplication over words.
 
-The reference is the whole corpus, indexed in blocks by anchor (see ``repeats``): a block holds every
-place of its anchors. Each document is parsed against all blocks: a factor grows over neighbouring
-windows as long as each is found at an earlier place, and its ends are checked window by window where
-only the anchor agrees. Factors of at least ``size`` words are the duplicate spans.
+The method is that of ``repeats``, which op10 uses as well: windows of ``size`` words meet by their
+anchor and are compared by fingerprint. A window is a duplicate if an equal one stands at an earlier
+place of the corpus; duplicate windows that overlap or touch make one span. No greedy Lempel-Ziv
+factors against reference blocks are formed.
 
 Null or empty texts and texts of fewer than ``size`` words have no spans. A null doc_id comes before
 all others. Rows that repeat a doc_id and its text are one place, so neither makes the other a

@@ -1,12 +1,8 @@
-"""Suffix-array deduplication over bytes, by prefix-free parsing.
-
-Triggers are the places where a rolling fingerprint is smallest among its neighbours; every string of
-``size`` bytes holds one. A phrase reaches from the first to the last string that a trigger serves,
-so neighbouring phrases overlap and none is a prefix of another with the same trigger. The dictionary
-holds each different phrase once with its number of places; the parse is the phrases of each text in
-order. Phrases with two places settle all their suffixes. Only suffixes of phrases that share a
-trigger but differ are sorted, by the fingerprint of their first ``size`` bytes: equal neighbours in
-that order are repeats. Full corpus order isn't formed, as only equality is asked for.
+"""Deduplication of repeated strings over bytes.
+
+The method is that of ``repeats``, which op7 uses as well: every string of ``size`` bytes meets equal
+ones by its anchor, and strings are compared by fingerprint; those with two places are repeats. No
+suffix array is formed, neither of a dictionary nor of a parse, as only equality is asked for.
 
 Null or empty texts and those shorter than ``size`` bytes have no spans. Rows that repeat a doc_id
 and its text are two places, so both are removed. Strings never cross texts.
