@@ -7,10 +7,25 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestat.llm import fingerprints, jaccard_join, language_model, near_vectors, packing, pieces, quality, substring_dedup, suffix_dedup, surrogates
+from lodestat.llm import (
+    contamination,
+    fingerprints,
+    jaccard_join,
+    language_model,
+    manifest,
+    near_vectors,
+    oracles,
+    packing,
+    pieces,
+    prefix_trie,
+    quality,
+    substring_dedup,
+    suffix_dedup,
+    surrogates,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = oracles.ORACLES
 
 
 def query(f):
@@ -73,3 +88,18 @@ def op3_language_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op11_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op12_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.documents_manifest(table(spark, sf_dir, "documents"))

@@ -11,6 +11,8 @@ import pyarrow as pa
 SLICE_BYTES = 4 << 20
 #: Space, tab, line feed, vertical tab, form feed, carriage return.
 WHITE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
+#: Everything in ASCII but digits and letters.
+MARKS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 BYTE_VALUES = np.random.default_rng(20240601).integers(1, 2**64, 256, dtype=np.uint64)
@@ -70,9 +72,9 @@ class Fingerprints:
         return mix((self.sums[n:n + m] - self.sums[:m]) * self.inverse[:m] + np.uint64(n))
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end byte of every word, and the number of words before each text and in all."""
-    solid = ~WHITE[data]
+    solid = ~between[data]
     first, last = solid.copy(), solid.copy()
     if len(data):
         first[1:] &= ~solid[:-1]
@@ -86,11 +88,11 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, np.flatnonzero(last) + 1, np.searchsorted(starts, offsets)
 
 
-def word_values(data: np.ndarray, offsets: np.ndarray, lower: bool = False):
+def word_values(data: np.ndarray, offsets: np.ndarray, lower: bool = False, between: np.ndarray = WHITE):
     """Fingerprint of every word; its start and end; the number of words before each text and in all."""
     if lower:
         data = LOWER[data]
-    starts, ends, begin = word_spans(data, offsets)
+    starts, ends, begin = word_spans(data, offsets, between)
     return Fingerprints(BYTE_VALUES[data]).of(starts, ends), starts, ends, begin
 
 
