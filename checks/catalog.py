@@ -320,8 +320,8 @@ def exact_quartiles(spark, sf_dir):
 
 
 @query("""SELECT event_id, event_type, CAST(row_number() OVER (PARTITION BY event_type
-  ORDER BY value, event_id) AS INTEGER) AS position,
-  CAST(count(*) OVER (PARTITION BY event_type) AS INTEGER) AS group_size FROM events""")
+  ORDER BY value, event_id) AS BIGINT) AS position,
+  CAST(count(*) OVER (PARTITION BY event_type) AS BIGINT) AS group_size FROM events""")
 def ordinal_positions(spark, sf_dir):
     return ordered.ordinal_positions(
         testbed.table(spark, sf_dir, "events").select("event_id", "event_type", "value"),
@@ -330,20 +330,20 @@ def ordinal_positions(spark, sf_dir):
 
 
 @query(f"""SELECT o_custkey, {rnd('total', 'total')}, CAST(row_number() OVER (
-    ORDER BY total DESC, o_custkey) AS INTEGER) AS rank
+    ORDER BY total DESC, o_custkey) AS BIGINT) AS rank
   FROM (SELECT o_custkey, sum(o_totalprice) AS total FROM orders GROUP BY 1)""")
 def category_ranks(spark, sf_dir):
     return ordered.rank_categories(testbed.table(spark, sf_dir, "orders"), "o_custkey", "o_totalprice")
 
 
-@query("""SELECT c_name, CAST(row_number() OVER (ORDER BY c_name) AS INTEGER) AS rank
+@query("""SELECT c_name, CAST(row_number() OVER (ORDER BY c_name) AS BIGINT) AS rank
   FROM (SELECT DISTINCT c_name FROM customer)""")
 def alphabetical_ranks(spark, sf_dir):
     return ordered.alphabetical_rank(testbed.table(spark, sf_dir, "customer"), "c_name")
 
 
 @query(f"""SELECT parameter, {rnd('mdl', 'mdl')}, CAST(row_number() OVER (PARTITION BY parameter
-  ORDER BY mdl) AS INTEGER) AS level FROM (SELECT DISTINCT parameter, mdl FROM meas)""")
+  ORDER BY mdl) AS BIGINT) AS level FROM (SELECT DISTINCT parameter, mdl FROM meas)""")
 def sorted_levels(spark, sf_dir):
     return ordered.sorted_levels(testbed.measurements(spark, sf_dir), ["parameter"], "mdl")
 
@@ -939,9 +939,9 @@ def scaled_means(spark, sf_dir):
     / (max(grand_mean) OVER w - min(grand_mean) OVER w) AS value, round_even(grand_mean, 8) AS label
     FROM means WINDOW w AS (PARTITION BY parameter))
   SELECT x, y, {rnd('value', 'value')}, {rnd('label', 'label')}, false AS grey, x_rank, y_rank FROM s
-  JOIN (SELECT x, CAST(row_number() OVER (ORDER BY sum(value) DESC, x) AS INTEGER) AS x_rank FROM s GROUP BY x)
+  JOIN (SELECT x, CAST(row_number() OVER (ORDER BY sum(value) DESC, x) AS BIGINT) AS x_rank FROM s GROUP BY x)
     USING (x)
-  JOIN (SELECT y, CAST(row_number() OVER (ORDER BY y) AS INTEGER) AS y_rank FROM (SELECT DISTINCT y FROM s))
+  JOIN (SELECT y, CAST(row_number() OVER (ORDER BY y) AS BIGINT) AS y_rank FROM (SELECT DISTINCT y FROM s))
     USING (y)""")
 def heatmap_cells(spark, sf_dir):
     return explore.heatmap_cells(reshape.group_mean(S.storm(spark, sf_dir)), value="grand_mean",
@@ -951,8 +951,8 @@ def heatmap_cells(spark, sf_dir):
 @query(f"""WITH s AS (SELECT stream AS x, parameter AS y, -CASE WHEN NOT all_censored THEN log10(mean) END AS value,
     all_censored AS grey FROM km)
   SELECT x, y, {rnd('value', 'value')}, CAST(NULL AS DOUBLE) AS label, grey, x_rank, y_rank FROM s
-  JOIN (SELECT x, CAST(row_number() OVER (ORDER BY x) AS INTEGER) AS x_rank FROM s GROUP BY x) USING (x)
-  JOIN (SELECT y, CAST(row_number() OVER (ORDER BY sum(value) DESC, y) AS INTEGER) AS y_rank FROM s GROUP BY y)
+  JOIN (SELECT x, CAST(row_number() OVER (ORDER BY x) AS BIGINT) AS x_rank FROM s GROUP BY x) USING (x)
+  JOIN (SELECT y, CAST(row_number() OVER (ORDER BY sum(value) DESC, y) AS BIGINT) AS y_rank FROM s GROUP BY y)
     USING (y)""")
 def heatmap_plain(spark, sf_dir):
     """Unscaled, reversed sign, grey mask, other axis ranked."""
@@ -977,7 +977,7 @@ def annual_summary_by_stream(spark, sf_dir):
 
 def _qq_sql(quantile: str) -> str:
     return f"""WITH r AS (SELECT parameter, stream, mean, CAST(row_number() OVER (PARTITION BY parameter
-      ORDER BY mean, stream) AS INTEGER) AS position, count(*) OVER (PARTITION BY parameter) AS n FROM km
+      ORDER BY mean, stream) AS BIGINT) AS position, count(*) OVER (PARTITION BY parameter) AS n FROM km
       WHERE NOT all_censored),
     p AS (SELECT *, (position - CASE WHEN n <= 10 THEN 0.375 ELSE 0.5 END)
       / (n + 1 - 2 * CASE WHEN n <= 10 THEN 0.375 ELSE 0.5 END) AS p FROM r)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestat.functions import count_distinct_with_null, detect, r_not_isin, ratio
-from lodestat.operators.ordered import group_median, running_totals
+from lodestat.operators.ordered import group_median, marks, running_totals, sliced
 from lodestat.operators.relate import anti, attach, attach_stats, semi
 from lodestat.sources.files import stored
 
@@ -146,7 +146,7 @@ def replacement_levels(df: DataFrame, keys=("stream",), parameter: str = "parame
         "_is_lowest": is_lowest, "_is_high": is_high,
         "_kept": F.when(is_high, 0).otherwise(F.col("_below")),
     }).drop("_group_top", "_lowest")
-    seen = running_totals(events, group, "_at", ["_rows", "_kept", "_n", "_sum"])
+    seen = running_totals(sliced(events, group, "_at"), group, "_at", ["_rows", "_kept", "_n", "_sum"], cut=False)
     settled = F.col("_kept_before") + F.col("_n_before")
     by_mean = ~F.col("_is_lowest") & ~F.col("_is_high") & (settled > 0)
     rule = _forty_percent(F.col("_at"), F.col("_below"), F.col("_rows"))
@@ -161,10 +161,10 @@ def replacement_levels(df: DataFrame, keys=("stream",), parameter: str = "parame
               .otherwise(F.col("_below") * F.col("_rule")),
     }).select(*group, "_at", "_is_lowest", "_is_high", "_by_mean", "_rule", "_settled", "_rows",
               "_below", F.col("_rows_before").alias("_processed"),
-              F.col("_sum_before").alias("_detected"), "_log_a", "_c")
-    grown = running_totals(steps, group, "_at", ["_log_a"]).withColumn(
+              F.col("_sum_before").alias("_detected"), "_log_a", "_c", *marks(seen))
+    grown = running_totals(steps, group, "_at", ["_log_a"], cut=False).withColumn(
         "_share", F.col("_c") * F.exp(-(F.col("_log_a_before") + F.col("_log_a"))))
-    summed = running_totals(grown.drop("_log_a_all"), group, "_at", ["_share"])
+    summed = running_totals(grown.drop("_log_a_all"), group, "_at", ["_share"], cut=False)
     lower = F.exp(F.col("_log_a_before")) * F.col("_share_before")
     size = F.when(ratio(F.col("_below"), F.col("_rows")) < 0.4, "<40%").otherwise(">40%")
     case = (F.when(F.col("_is_lowest"), "LowestMDL")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestat.functions import ratio, safe_log10
-from lodestat.operators.ordered import running_totals
+from lodestat.operators.ordered import marks, running_totals, sliced
 from lodestat.operators.relate import full_join
 
 # Probabilities are sums of logarithms; one half is met up to this.
@@ -19,15 +19,15 @@ def km_points(points: DataFrame, keys, value: str = "cvalue") -> DataFrame:
     ``_cdf`` is the probability of a value at or below the row's value, ``_mass`` the
     probability on it, ``_rest`` the probability left below the smallest detect.
     """
-    at_risk = running_totals(points.withColumn("_all", F.col("detects") + F.col("censored")),
-                             keys, value, ["_all"])
+    cut = sliced(points.withColumn("_all", F.col("detects") + F.col("censored")), keys, value)
+    at_risk = running_totals(cut, keys, value, ["_all"], cut=False)
     share = ratio(F.col("detects"), F.col("_all_before") + F.col("_all"))
     # A factor of zero can only be the smallest value of the group; it is kept as a flag.
     steps = at_risk.select(
         *keys, value, "detects", "censored", share.alias("_share"),
         F.when(share < 1, F.ln(1 - share)).otherwise(F.lit(0.0)).alias("_log"),
-        (share >= 1).cast("int").alias("_zero"))
-    scored = running_totals(steps, keys, value, ["_log", "_zero"])
+        (share >= 1).cast("int").alias("_zero"), *marks(at_risk))
+    scored = running_totals(steps, keys, value, ["_log", "_zero"], cut=False)
     above = F.exp(F.col("_log_all") - F.col("_log_before") - F.col("_log"))
     rest = F.when(F.col("_zero_all") > 0, F.lit(0.0)).otherwise(F.exp("_log_all"))
     return scored.select(*keys, value, "detects", "censored", above.alias("_cdf"),

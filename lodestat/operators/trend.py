@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lodestat.functions import (
     case_chain,
@@ -17,18 +14,12 @@ from lodestat.functions import (
     safe_log10,
     t_quantile,
 )
-from lodestat.operators.ordered import ordinal_positions, running_totals
-from lodestat.operators.relate import anti, attach, attach_stats, semi
+from lodestat.operators.crossing import LIST_PAIRS, zero_crossing
+from lodestat.operators.ordered import running_totals
+from lodestat.operators.relate import attach, attach_stats, semi
 from lodestat.operators.survival import km_from_points
 from lodestat.sources.files import stored
 
-# A group with at most this many distinct points is searched inside one task.
-IN_TASK_POINTS = 20_000
-# The distributed search of larger groups ends at this relative bracket width.
-TOLERANCE, MAX_ROUNDS = 1e-10, 80
-# First trials around an estimate, in units of the group's range of y over its range of x.
-FIRST_STEPS = (1e-4, 1e-3, 1e-2, 0.1, 1.0, 1e2, 1e4, 2.0 ** 60)
-
 
 def eligible(df: DataFrame, keys, column: str, min_n: int = 3, distinct: bool = True) -> DataFrame:
     """Rows of groups with enough distinct (or merely non-missing) values of a column."""
@@ -38,185 +29,6 @@ def eligible(df: DataFrame, keys, column: str, min_n: int = 3, distinct: bool =
     return semi(df, stored(kept), list(keys))
 
 
-def _dyadic(rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Node and side of every point at every bit of its x rank.
-
-    Two points with different ranks share a node on opposite sides at exactly one bit, the
-    highest one in which the ranks differ, so sums over nodes count every pair once.
-    """
-    bits = max(int(rank.max()).bit_length(), 1)
-    shifts = np.arange(bits)[:, None]
-    width = int(rank.max()) + 1
-    node = (rank[None, :] >> (shifts + 1)) + shifts * width
-    return node.ravel(), ((rank[None, :] >> shifts) & 1).ravel()
-
-
-def _sign_sum(b, x, y, censored, weight, node, upper) -> int:
-    """Sum over pairs of the sign of residual change with x, unknown signs counting 0."""
-    copies = len(node) // len(x)
-    r = np.tile(y - b * x, copies)
-    order = np.lexsort((r, node))
-    r, node, upper = r[order], node[order], upper[order]
-    detect = ~np.tile(censored, copies)[order]
-    w = np.tile(weight, copies)[order]
-    counts = np.stack([w * (detect & (upper == s)) if d else w * (~detect & (upper == s))
-                       for s in (0, 1) for d in (True, False)])
-    new_node = np.r_[True, node[1:] != node[:-1]]
-    starts = np.flatnonzero(new_node | np.r_[True, r[1:] != r[:-1]])
-    own = np.add.reduceat(counts, starts, axis=1)
-    running = np.cumsum(own, axis=1) - own
-    first = np.maximum.accumulate(np.where(new_node[starts], np.arange(len(starts)), 0))
-    before = running - running[:, first]
-    low_d, low_c, high_d, high_c = own
-    b_low_d, b_low_c, b_high_d, b_high_c = before
-    return int(np.sum(high_d * (b_low_d + b_low_c + low_c)
-                      - low_d * (b_high_d + b_high_c + high_c)))
-
-
-def _search_slope(points: pd.DataFrame) -> tuple[float | None, int]:
-    """Zero crossing of the sign sum for one bounded group, and the sum at slope zero."""
-    x, y = points["_x"].to_numpy(float), points["_y"].to_numpy(float)
-    censored, weight = points["_c"].to_numpy(bool), points["_w"].to_numpy("int64")
-    levels, rank = np.unique(x, return_inverse=True)
-    if len(levels) < 2:
-        return None, 0
-    node, upper = _dyadic(rank.astype("int64"))
-
-    def s(b: float) -> int:
-        return _sign_sum(b, x, y, censored, weight, node, upper)
-
-    def bisect(low: float, high: float, stays_low) -> tuple[float, float]:
-        for _ in range(200):
-            middle = 0.5 * (low + high)
-            if not low < middle < high or high - low <= 1e-12 * max(1.0, abs(middle)):
-                break
-            low, high = (middle, high) if stays_low(s(middle)) else (low, middle)
-        return low, high
-
-    def snap(low: float, high: float) -> float:
-        """The slope of a pair that crosses inside the bracket, else its middle."""
-        middle, order = 0.5 * (low + high), np.argsort(y - low * x, kind="stable")
-        dx, dy = np.diff(x[order]), np.diff(y[order])
-        slopes = dy[dx != 0] / dx[dx != 0]
-        if len(slopes):
-            nearest = slopes[np.argmin(np.abs(slopes - middle))]
-            if abs(nearest - middle) <= 1e-9 * max(1.0, abs(middle)):
-                return float(nearest)
-        return middle
-
-    at_zero = s(0.0)
-    bound = (y.max() - y.min()) / np.diff(levels).min() + 1.0
-    if s(-bound) <= 0 or s(bound) >= 0:
-        return None, at_zero
-    last_positive = bisect(-bound, bound, lambda value: value > 0)
-    start = last_positive[1]
-    if s(start) < 0:
-        first_negative = last_positive
-    else:
-        first_negative = bisect(start, bound, lambda value: value >= 0)
-    return 0.5 * (snap(*last_positive) + snap(*first_negative)), at_zero
-
-
-def _slopes_in_task(points: DataFrame, keys) -> DataFrame:
-    fields = [f for f in points.schema.fields if f.name in keys]
-    schema = T.StructType(sorted(fields, key=lambda f: keys.index(f.name)) + [
-        T.StructField("slope", T.DoubleType()), T.StructField("s_zero", T.DoubleType())])
-
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        slope, at_zero = _search_slope(pdf)
-        row = {k: [pdf[k].iloc[0]] for k in keys}
-        return pd.DataFrame({**row, "slope": pd.array([slope], dtype="Float64"),
-                             "s_zero": [float(at_zero)]})
-
-    # The search costs time, not bytes, so groups are spread over a declared number of tasks.
-    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return points.repartition(tasks, *keys).groupBy(*keys).applyInPandas(search, schema)
-
-
-def _sign_sums(nodes: DataFrame, trials: DataFrame, keys) -> DataFrame:
-    """Sign sums of every (group, trial slope), from running counts per dyadic node."""
-    run = [*keys, "_b", "_bit", "_prefix"]
-    low, detect = F.col("_upper") == 0, ~F.col("_c")
-    sides = {"_ld": low & detect, "_lc": low & ~detect, "_hd": ~low & detect, "_hc": ~low & ~detect}
-    # A non-detect counts as below a detect of equal residual, so both sides need its own count.
-    residuals = attach(nodes, trials, keys, "inner").withColumn(
-        "_r", F.col("_y") - F.col("_b") * F.col("_x"))
-    points = residuals.groupBy(*run, "_r").agg(*[
-        F.sum(F.when(held, F.col("_w")).otherwise(F.lit(0))).alias(name)
-        for name, held in sides.items()])
-    points = points.withColumns({"_low": F.col("_ld") + F.col("_lc"), "_high": F.col("_hd") + F.col("_hc")})
-    seen = running_totals(points, run, "_r", ["_low", "_high"])
-    up = F.col("_hd") * (F.col("_low_before") + F.col("_lc")).cast("double")
-    down = F.col("_ld") * (F.col("_high_before") + F.col("_hc")).cast("double")
-    return seen.groupBy(*keys, "_b").agg(F.sum(up - down).alias("_s"))
-
-
-def _brackets(evaluated: DataFrame, keys) -> DataFrame:
-    """Last positive and first negative sign sum known so far, with their neighbours."""
-    s, b = F.col("_s"), F.col("_b")
-    aggregates = []
-    for goal, stays in (("pos", s > 0), ("neg", s >= 0)):
-        low, high = F.when(stays, b), F.when(~stays, b)
-        aggregates += [F.max(low).alias(f"_lo_{goal}"), F.max_by(s, low).alias(f"_slo_{goal}"),
-                       F.min(high).alias(f"_hi_{goal}"), F.min_by(s, high).alias(f"_shi_{goal}")]
-    return evaluated.groupBy(*keys).agg(*aggregates)
-
-
-def _next_trials(brackets: DataFrame, keys) -> DataFrame:
-    """Trial slopes inside every bracket that is still open: an even fan, and the point where a
-    straight line between the ends crosses zero with two close neighbours."""
-    trials = []
-    for goal in ("pos", "neg"):
-        lo, hi = F.col(f"_lo_{goal}"), F.col(f"_hi_{goal}")
-        s_lo, s_hi = F.col(f"_slo_{goal}"), F.col(f"_shi_{goal}")
-        width = hi - lo
-        is_open = width > TOLERANCE * F.greatest(F.lit(1.0), F.abs(lo), F.abs(hi))
-        root = lo + width * ratio(s_lo, s_lo - s_hi)
-        inside = [lo + width * F.lit(t) for t in (0.2, 0.4, 0.6, 0.8)]
-        inside += [root, root - width * F.lit(1e-3), root + width * F.lit(1e-3)]
-        trials += [F.when(is_open & (t > lo) & (t < hi), t) for t in inside]
-    return (brackets.select(*keys, F.explode(F.array(*trials)).alias("_b"))
-            .filter(F.col("_b").isNotNull()).distinct())
-
-
-def _slopes_distributed(points: DataFrame, keys) -> DataFrame:
-    """The same zero crossing for groups too large for one task.
-
-    Every round counts the sign sums of a few trial slopes over all points and narrows the
-    brackets; only brackets and sums pass between rounds. The first trials surround the slope of
-    a hashed subset of the points. That subset decides where the search starts, nothing else.
-    """
-    keys = list(keys)
-    levels = ordinal_positions(points.select(*keys, "_x").distinct(), keys, "_x", [], "_rank")
-    ranked = attach_stats(points, levels, [*keys, "_x"]).withColumn("_rank", F.col("_rank") - 1)
-    bits = F.greatest(F.length(F.bin(F.col("group_size") - 1)), F.lit(1))
-    nodes = stored(ranked.withColumn("_bit", F.explode(F.sequence(F.lit(0), bits - 1))).selectExpr(
-        *[f"`{k}`" for k in keys], "_x", "_y", "_c", "_w", "_bit",
-        "shiftright(_rank, _bit + 1) AS _prefix", "shiftright(_rank, _bit) & 1 AS _upper"))
-    unit = ratio(F.max("_y") - F.min("_y"), F.max("_x") - F.min("_x"))
-    groups = stored(points.groupBy(*keys).agg(
-        F.coalesce(F.nullif(unit, F.lit(0.0)), F.lit(1.0)).alias("_unit"),
-        F.ceil(F.count(F.lit(1)) / (IN_TASK_POINTS // 2)).alias("_every")))
-    subset = attach(points, groups, keys).filter(
-        F.pmod(F.xxhash64("_x", "_y", "_c"), F.col("_every")) == 0)
-    guess = _slopes_in_task(subset.select(*points.columns), keys).select(
-        *keys, F.col("slope").alias("_guess"))
-    centre, step = F.coalesce(F.col("_guess"), F.lit(0.0)), F.col("_unit")
-    trials = attach(groups, guess, keys).select(*keys, F.explode(F.array(
-        F.lit(0.0), centre, *[centre + F.lit(sign * k) * step for k in FIRST_STEPS
-                              for sign in (-1.0, 1.0)])).alias("_b")).distinct()
-    evaluated = stored(_sign_sums(nodes, stored(trials), keys))
-    for _ in range(MAX_ROUNDS):
-        trials = stored(_next_trials(_brackets(evaluated, keys), keys))
-        if trials.isEmpty():
-            break
-        evaluated = stored(evaluated.unionByName(_sign_sums(nodes, trials, keys)))
-    crossing = (F.col("_lo_pos") + F.col("_hi_pos") + F.col("_lo_neg") + F.col("_hi_neg")) / 4
-    at_zero = evaluated.filter(F.col("_b") == 0).select(*keys, F.col("_s").alias("s_zero"))
-    return attach(attach(groups.select(*keys), _brackets(evaluated, keys).select(
-        *keys, crossing.alias("slope")), keys), at_zero, keys)
-
-
 def _tie_sums(points: DataFrame, keys, by, suffix: str) -> DataFrame:
     t = F.col("_t").cast("double")
     return (points.groupBy(*keys, by.alias("_by")).agg(F.sum("_w").alias("_t")).groupBy(*keys)
@@ -226,14 +38,15 @@ def _tie_sums(points: DataFrame, keys, by, suffix: str) -> DataFrame:
 
 
 def censored_trend(df: DataFrame, x: str = "year", keys=("parameter", "stream"),
-                   value: str = "value", in_task_points: int = IN_TASK_POINTS) -> DataFrame:
+                   value: str = "value", list_pairs: int = LIST_PAIRS) -> DataFrame:
     """Slope, intercept, tau and p of a left-censored value on ``x`` per group.
 
-    The slope is where the Kendall sign sum of the residuals changes sign; the intercept is the
+    The slope is where the Kendall sign sum of the residuals changes sign (see ``crossing``; a
+    smaller ``list_pairs`` means more rounds, not another result); the intercept is the
     Kaplan-Meier median of the residuals; p is two-sided from the tie-corrected normal
     approximation with continuity correction, where non-detects form one tie group. Degenerate
     groups give nulls. Rows are first collapsed to weighted distinct points, which are stored
-    once; no pairs of points are formed.
+    once.
     """
     keys = list(keys)
     shown = F.when(F.col("below_mdl"), F.col("mdl")).otherwise(F.col(value))
@@ -242,17 +55,7 @@ def censored_trend(df: DataFrame, x: str = "year", keys=("parameter", "stream"),
                   F.col("below_mdl").alias("_c"))
         .filter(F.col("_x").isNotNull() & F.col("_y").isNotNull())
         .groupBy(*keys, "_x", "_y", "_c").agg(F.count(F.lit(1)).alias("_w")))
-    large = (points.groupBy(*keys).agg(F.count(F.lit(1)).alias("_points"))
-             .filter(F.col("_points") > in_task_points).select(*keys))
-    if large.isEmpty():
-        slopes = _slopes_in_task(points, keys)
-    else:
-        large = stored(large)
-        small_points = anti(points, large, keys)
-        slopes = _slopes_in_task(small_points, keys).unionByName(
-            _slopes_distributed(stored(semi(points, large, keys)), keys).select(
-                *keys, "slope", "s_zero"))
-    slopes = stored(slopes)
+    slopes = stored(zero_crossing(points, keys, list_pairs))
     residuals = attach(points, slopes.filter("slope IS NOT NULL"), keys, "inner").withColumn(
         "_r", F.col("_y") - F.col("slope") * F.col("_x")).groupBy(*keys, "_r").agg(
         F.sum(F.when(~F.col("_c"), F.col("_w")).otherwise(F.lit(0))).alias("detects"),

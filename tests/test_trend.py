@@ -84,19 +84,28 @@ def check(got, groups, tolerance):
         assert got[g]["n"] == len(rows)
 
 
-def test_slopes_in_task(spark):
-    groups = groups_of(7, 60, 14)
-    got = {r["parameter"]: r for r in trend.censored_trend(frame(spark, groups)).collect()}
+@pytest.mark.parametrize(("seed", "count", "size", "pairs"), [(7, 60, 14, 65_536), (8, 12, 40, 20)])
+def test_slopes(spark, seed, count, size, pairs):
+    """The same slopes and intercepts, on tied data, from complete lists and from brackets narrowed in rounds."""
+    groups = groups_of(seed, count, size)
+    got = {r["parameter"]: r for r in trend.censored_trend(frame(spark, groups), list_pairs=pairs).collect()}
     check(got, groups, 1e-9)
     for g, rows in groups.items():
-        assert close(got[g]["intercept"], expected(rows)[1], 1e-6), g
+        assert close(got[g]["intercept"], expected(rows)[1], 1e-9), g
 
 
-def test_slopes_distributed(spark):
-    groups = groups_of(8, 4, 30)
-    df = frame(spark, groups)
-    got = {r["parameter"]: r for r in trend.censored_trend(df, in_task_points=0).collect()}
-    check(got, groups, 1e-7)
+def test_slope_of_a_heavy_tie(spark):
+    """Most pairs have the very slope that is asked for, more than a list may hold."""
+    line = [(1990 + i % 40, float(i % 40) / 3, False) for i in range(40)]
+    rng = random.Random(5)
+    groups = {"line": line + [(rng.randint(1990, 2029), rng.uniform(0, 14), rng.random() < 0.3) for _ in range(25)],
+              "flat": [(1990 + i, 2.0, i % 3 == 0) for i in range(60)]}
+    got = {r["parameter"]: r for r in trend.censored_trend(frame(spark, groups), list_pairs=50).collect()}
+    check(got, groups, 1e-9)
+
+
+def test_empty_table(spark):
+    assert trend.censored_trend(frame(spark, {"g": [(2000, 1.0, False)]}).limit(0)).collect() == []
 
 
 def test_eligible(spark):
