@@ -24,25 +24,17 @@ from lodestat.operators.relate import anti, attach, attach_stats, semi
 from lodestat.sources.files import stored
 
 #: Pairs listed for one bracket of one group.
-LIST_PAIRS = 65_536
+LIST_PAIRS = 1 << 18
 #: Half distance of the two trials around a slope, relative to the slope and to the group's unit. A
 #: bracket as narrow as that holds, to working precision, one slope, however many pairs have it.
 NEAR, NEAR_UNIT = 1e-12, 1e-15
 #: Shares of the list to either side of the step at which trials are placed.
 ASIDE = (0.02, 0.1)
+#: Coarse codes of slopes per factor of e.
+CODES = 128
 GOALS = {"pos": lambda s: s > 0, "neg": lambda s: s >= 0}
 
 
-def _sign(later: Column, earlier: Column) -> Column:
-    return F.when(later > earlier, 1).when(later < earlier, -1).otherwise(0)
-
-
-def _sum_of_pair(low_censored: Column, high_censored: Column, sign: Column) -> Column:
-    """What a pair adds to S when the residual changes by ``sign`` towards the larger x."""
-    return (F.when(~low_censored & ~high_censored, sign).when(~high_censored, (sign >= 0).cast("int"))
-            .when(~low_censored, -(sign <= 0).cast("int")).otherwise(0))
-
-
 def _ends(points: DataFrame, keys) -> DataFrame:
     """One row per group: S and the number of steps left (by points) below and above all slopes, and its unit."""
     held = ~F.col("_c")
@@ -79,34 +71,55 @@ def _crossings(points: DataFrame, brackets: DataFrame, keys, salt: int) -> DataF
     """_id, _slope, _drop and _zero of pairs that cross inside their bracket, among a share of the points."""
     share = F.pmod(F.xxhash64("_x", "_y", "_c", F.lit(salt)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     rows = _sampled(points, brackets, keys).filter(share < F.col("_rate"))
-    sides = ["_x", "_y", "_c", "_w", "_u", "_v"]
+    rows = rows.withColumns({"_d": (~F.col("_c")).cast("double"), "_w": F.col("_w").cast("double")})
+    sides = ["_x", "_y", "_d", "_w", "_u", "_v"]
     low = rows.select("_id", "_lo", "_hi", F.explode(F.when(F.col("_width").isNull(), F.array("_band")).otherwise(
         F.array("_band", F.col("_band") + 1))).alias("_band"), *[F.col(c).alias(f"{c}l") for c in sides])
     high = rows.select("_id", "_band", *[F.col(c).alias(f"{c}h") for c in sides])
-    pairs = low.join(high, ["_id", "_band"]).filter((F.col("_xl") < F.col("_xh")) & ~(F.col("_cl") & F.col("_ch")))
-    at_low = F.when(F.col("_lo").isNull(), 1).otherwise(_sign(F.col("_uh"), F.col("_ul")))
-    at_high = F.when(F.col("_hi").isNull(), -1).otherwise(_sign(F.col("_vh"), F.col("_vl")))
-    weight = F.col("_wl").cast("double") * F.col("_wh")
-    value = lambda sign: _sum_of_pair(F.col("_cl"), F.col("_ch"), sign)
-    slope = ratio(F.col("_yh") - F.col("_yl"), F.col("_xh") - F.col("_xl"))
-    return pairs.select("_id", F.greatest("_lo", F.least("_hi", slope)).alias("_slope"), (weight * (value(at_low) - value(at_high))).alias("_drop"),
-                        (weight * value(_sign(F.col("_yh"), F.col("_yl")))).alias("_zero")).filter(F.col("_drop") > 0)
-
-
-def _picked(listed: DataFrame, goals: DataFrame) -> DataFrame:
-    """For each goal of a bracket: the step in the list, slopes around it for a sampled list, and S(0) of the list."""
-    ordered = Window.partitionBy("_id").orderBy("_slope")
-    runs = listed.groupBy("_id", "_slope").agg(F.sum("_drop").alias("_drop"), F.sum("_zero").alias("_zero"))
-    runs = runs.select("_id", "_slope", "_zero", F.sum("_drop").over(ordered).alias("_cum"),
-                       F.sum("_drop").over(Window.partitionBy("_id")).alias("_all"))
-    rows = goals.join(runs, "_id", "left")
-    left = F.col("_s_lo") - F.col("_cum")
-    passed = F.when(F.col("_goal") == "pos", left <= 0).otherwise(left < 0)
-    target = ratio(F.col("_s_lo"), F.col("_s_lo") - F.col("_s_hi"))
-    at = lambda d: F.min(F.when(F.col("_cum") >= F.least(target + d, F.lit(1.0)) * F.col("_all"), F.col("_slope")))
-    return rows.groupBy(*goals.columns).agg(
-        F.min(F.when(passed, F.col("_slope"))).alias("_exact"), F.sum("_zero").alias("_zero"), at(0.0).alias("_mid"),
-        F.array(*[at(-d) for d in ASIDE]).alias("_below"), F.array(*[at(d) for d in ASIDE]).alias("_above"))
+    # a list costs time, not bytes of input, so bands are dealt to a declared number of tasks
+    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = low.repartition(tasks, "_id", "_band").join(high.repartition(tasks, "_id", "_band"), ["_id", "_band"]).filter(F.col("_xl") < F.col("_xh"))
+    # What a pair adds to S is the sign of the change of its residual, bounded by 0 where the lower or the
+    # upper end is unknown, up to a constant; 0 counts as a rise or fall away from a non-detect.
+    bounded = lambda sign: F.greatest(-F.col("_dh"), F.least(F.col("_dl"), sign))
+    at_low = F.coalesce(F.signum(F.col("_uh") - F.col("_ul")), F.lit(1.0))
+    at_high = F.coalesce(F.signum(F.col("_vh") - F.col("_vl")), F.lit(-1.0))
+    rise, weight = F.col("_yh") - F.col("_yl"), F.col("_wl") * F.col("_wh")
+    return pairs.select("_id", F.greatest("_lo", F.least("_hi", ratio(rise, F.col("_xh") - F.col("_xl")))).alias("_slope"),
+                        (weight * (bounded(at_low) - bounded(at_high))).alias("_drop"),
+                        (weight * (bounded(F.signum(rise)) + F.col("_dh") - F.col("_dl"))).alias("_zero")).filter(F.col("_drop") > 0)
+
+
+def _code(slope: Column) -> Column:
+    """Coarse integer that never decreases while ``slope`` grows, ``CODES`` per factor of e."""
+    size = F.floor((F.ln(F.abs(slope)) + 746) * CODES) + 1
+    return F.when(slope > 0, size).when(slope < 0, -size).otherwise(F.lit(0)).cast("long")
+
+
+def _picked(listed: DataFrame, brackets: DataFrame) -> DataFrame:
+    """For each bracket: the steps of both goals in the list, slopes around them for a sampled list, and S(0) of the list.
+
+    The list is summed by coarse codes first, in the tasks that make it; only slopes with the code of a
+    step are sorted, so the list itself is not shuffled.
+    """
+    ends = brackets.select("_id", "_s_lo", "_s_hi")
+    listed = listed.withColumn("_code", _code(F.col("_slope")))
+    by_code = Window.partitionBy("_id").orderBy("_code")
+    coarse = listed.groupBy("_id", "_code").agg(F.sum("_drop").alias("_drop"), F.sum("_zero").alias("_zero"),
+                                                F.min("_slope").alias("_least"), F.max("_slope").alias("_most"))
+    coarse = coarse.withColumns({"_cum": F.sum("_drop").over(by_code), "_all": F.sum("_drop").over(Window.partitionBy("_id"))}).join(ends, "_id")
+    part = ratio(F.col("_s_lo"), F.col("_s_lo") - F.col("_s_hi"))
+    coarse = stored(coarse.withColumns({"_before": F.col("_cum") - F.col("_drop"), "_target": part * F.col("_all"), "_part": part}))
+    s, low, high, target = F.col("_s_lo"), F.col("_before"), F.col("_cum"), F.col("_target")
+    wanted = stored(coarse.filter(((low <= s) & (s <= high)) | ((low <= target) & (target <= high))).select("_id", "_code", "_before", "_s_lo", "_target"))
+    fine = listed.join(wanted, ["_id", "_code"]).select(
+        "_id", "_slope", "_s_lo", "_target", (F.col("_before") + F.sum("_drop").over(Window.partitionBy("_id", "_code").orderBy("_slope"))).alias("_cum"))
+    first = lambda passed: F.min(F.when(passed, F.col("_slope")))
+    steps = fine.groupBy("_id").agg(first(high >= s).alias("_exact_pos"), first(high > s).alias("_exact_neg"), first(high >= target).alias("_mid"))
+    aside = lambda d, c: F.min(F.when(high >= F.least(F.col("_part") + d, F.lit(1.0)) * F.col("_all"), F.col(c)))
+    around = coarse.groupBy("_id").agg(F.sum("_zero").alias("_zero"), F.array(*[aside(-d, "_least") for d in ASIDE]).alias("_below"),
+                                       F.array(*[aside(d, "_most") for d in ASIDE]).alias("_above"))
+    return around.join(steps, "_id", "left")
 
 
 def _trials(picked: DataFrame, keys, step: int) -> DataFrame:
@@ -195,9 +208,11 @@ def zero_crossing(points: DataFrame, keys, list_pairs: int = LIST_PAIRS) -> Data
         rated = named.withColumn("_rate", F.sqrt(F.least(F.lit(1.0), list_pairs / F.greatest("_pairs", F.lit(1.0)))))
         if evaluated is None:
             rated = rated.withColumn("_width", F.lit(None).cast("double"))
-        goals = stored(rated)
-        brackets = goals.select(*keys, "_id", "_lo", "_hi", "_width", "_rate").dropDuplicates(["_id", *keys])
-        picked = stored(_picked(_crossings(points, stored(brackets), keys, step), goals))
+        brackets = stored(rated.select(*keys, "_id", "_lo", "_hi", "_width", "_rate", "_s_lo", "_s_hi").dropDuplicates(["_id", *keys]))
+        listed = _crossings(points, brackets.drop("_s_lo", "_s_hi"), keys, step)
+        picked = stored(rated.join(_picked(listed, brackets), "_id", "left")
+                        .withColumns({"_exact": F.when(F.col("_goal") == "pos", F.col("_exact_pos")).otherwise(F.col("_exact_neg"))}
+                                     | {c: F.coalesce(c, F.array(*[F.lit(None).cast("double") for _ in ASIDE])) for c in ("_below", "_above")}))
         if evaluated is None:
             zero = picked.filter(few & (F.col("_goal") == "pos")).select(*keys, F.coalesce("_zero", F.lit(0.0)).alias("s_zero"))
         thin = F.col("_hi") - F.col("_lo") <= 2.5 * F.greatest(
@@ -227,8 +242,8 @@ def zero_crossing(points: DataFrame, keys, list_pairs: int = LIST_PAIRS) -> Data
         bounds = stored(state.select(*keys, "_id", "_lo", "_hi", "_width").dropDuplicates(["_id", *keys]))
         state = state.join(stored(_candidates(points, bounds, keys)), "_id", "left").drop("_id")
         step += 1
-    at = found[0]
-    for more in found[1:]:
-        at = at.unionByName(more)
-    slopes = at.groupBy(*keys).agg(F.when(F.count("_at") == len(GOALS), F.sum("_at") / len(GOALS)).alias("slope"))
-    return attach(attach(groups.select(*keys), stored(slopes), keys), stored(zero), keys)
+    empty = F.lit(None).cast("double")
+    facts = groups.select(*keys, empty.alias("_at"), empty.alias("s_zero")).unionByName(zero.select(*keys, empty.alias("_at"), "s_zero"))
+    for more in found:
+        facts = facts.unionByName(more.select(*keys, "_at", empty.alias("s_zero")))
+    return facts.groupBy(*keys).agg(F.when(F.count("_at") == len(GOALS), F.sum("_at") / len(GOALS)).alias("slope"), F.max("s_zero").alias("s_zero"))

@@ -32,9 +32,10 @@ def sliced(points: DataFrame, keys, value: str, ties=()) -> DataFrame:
     """``points``, stored, with a number for each row and, if any group is large, the slice of its
     rows (null for rows of other groups)."""
     points = stored(points.withColumn("_row", F.monotonically_increasing_id()))
-    large = stored(points.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size")).filter(F.col("_size") > SLICE_ROWS))
+    large = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size")).filter(F.col("_size") > SLICE_ROWS)
     if large.isEmpty():
         return points
+    large = stored(large)
     keys, columns = list(keys), points.columns
     if not keys:
         keys, points, large = ["_whole"], points.withColumn("_whole", F.lit(0)), large.withColumn("_whole", F.lit(0))

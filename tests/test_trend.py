@@ -84,7 +84,7 @@ def check(got, groups, tolerance):
         assert got[g]["n"] == len(rows)
 
 
-@pytest.mark.parametrize(("seed", "count", "size", "pairs"), [(7, 60, 14, 65_536), (8, 12, 40, 20)])
+@pytest.mark.parametrize(("seed", "count", "size", "pairs"), [(7, 60, 14, 1 << 18), (8, 12, 40, 20)])
 def test_slopes(spark, seed, count, size, pairs):
     """The same slopes and intercepts, on tied data, from complete lists and from brackets narrowed in rounds."""
     groups = groups_of(seed, count, size)
