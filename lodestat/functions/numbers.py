@@ -103,32 +103,60 @@ def lognorm_quantile(p: Column) -> Column:
     return F.exp(norm_quantile(p))
 
 
+#: Degrees of freedom beyond which the expansion around the normal quantile is exact to the last digits.
+MANY = 1000
+#: Newton steps to the quantile; they close in from below, the digits doubling with each.
+NEWTON = 9
+
+
 def t_quantile(level: float, df: Column) -> Column:
-    """Two-sided Student quantile for confidence ``level``, by Hill's expansion (1970)."""
-    p = 1.0 - level
-    x = NormalDist().inv_cdf(p / 2)
-    n = df.cast("double")
-    a = 1 / (n - 0.5)
-    b = 48 / (a * a)
-    c = ((20700 * a / b - 98) * a - 16) * a + 96.36
-    d = ((94.5 / (b + c) - 3) / b + 1) * F.sqrt(a * (math.pi / 2)) * n
-    y0 = F.pow(d * p, 2 / n)
-
-    small = F.when(n < 5, F.lit(0.3) * (n - 4.5) * (x + 0.6)).otherwise(F.lit(0.0))
-    c2 = (((0.05 * d * x - 5) * x - 7) * x - 2) * x + b + c + small
-    y = x * x
-    body = (((((0.4 * y + 6.3) * y + 36) * y + 94.5) / c2 - y - 3) / b + 1) * x
-    body = F.expm1(a * body * body)
-    tail = ((1 / (((n + 6) / (n * y0) - 0.089 * d - 0.822) * (n + 2) * 3)
-             + 0.5 / (n + 4)) * y0 - 1) * (n + 1) / (n + 2) + 1 / y0
-    general = F.sqrt(n * F.when(y0 > a + 0.05, body).otherwise(tail))
-    two = math.sqrt(2 / (p * (2 - p)) - 2)
-    one = math.cos(p * math.pi / 2) / math.sin(p * math.pi / 2)
-    return F.when(n == 1, F.lit(one)).when(n == 2, F.lit(two)).when(n > 2, general)
+    """Two-sided Student quantile for confidence ``level`` and whole degrees of freedom from 1.
+
+    With t = sqrt(n) tan(u) the probability inside (-t, t) is the finite form of the incomplete beta
+    function for whole n, a sum of n / 2 powers of cos(u)**2, and its derivative is a power of cos(u); so
+    u is found by Newton steps. Beyond ``MANY`` degrees the expansion in 1 / n is used.
+    """
+    z = NormalDist().inv_cdf((1 + level) / 2)
+    n = df.cast("long")
+    odd, terms = n % 2, F.floor(n / 2)
+    steps = lambda last: F.when(last >= 1, F.sequence(F.lit(1).cast("long"), last)).otherwise(F.array().cast("array<bigint>"))
+    # derivative at 0: 2 / pi or 1, times (k - 1) / (k - 2) for k = n, n - 2, ... above 2
+    top = F.aggregate(steps(F.floor((n - 1) / 2)), F.when(odd == 1, F.lit(2 / math.pi)).otherwise(F.lit(1.0)),
+                      lambda c, k: c * (2 * k + 1 - odd) / (2 * k - odd))
+
+    def inside(u: Column) -> Column:
+        square = F.cos(u) * F.cos(u)
+        start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
+
+        def add(x: Column, j: Column) -> Column:
+            term = x["term"] * (2 * j - 1 + odd) / (2 * j + odd) * square
+            return F.struct(term.alias("term"), (x["sum"] + term).alias("sum"))
+
+        total = F.when(terms >= 1, F.aggregate(steps(terms - 1), start, add)["sum"]).otherwise(F.lit(0.0))
+        return F.when(odd == 1, 2 / math.pi * (u + F.sin(u) * F.cos(u) * total)).otherwise(F.sin(u) * total)
+
+    angle = F.aggregate(F.array(*[F.lit(i) for i in range(NEWTON)]), F.atan(z / F.sqrt(n)),
+                        lambda u, _: u + (level - inside(u)) / (top * F.pow(F.cos(u), n - 1)))
+    g = ((z**3 + z) / 4, (5 * z**5 + 16 * z**3 + 3 * z) / 96, (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384,
+         (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / 92160)
+    far = F.lit(z) + polynomial((*reversed(g), 0.0), 1 / n)
+    return F.when(n > MANY, far).when(n >= 1, F.sqrt(n) * F.tan(angle))
+
+
+#: Grid values that one row is exploded to at once.
+GRID_BLOCK = 4096
 
 
 def numeric_grid(df: DataFrame, low: Column, high: Column, by: float, name: str) -> DataFrame:
-    """One row per grid value low, low+by, ... not beyond high."""
-    steps = F.floor((high - low) / by + F.lit(1e-10)).cast("int")
-    return (df.withColumn("_step", F.explode(F.when(steps >= 0, F.sequence(F.lit(0), steps))))
-            .withColumn(name, low + F.col("_step") * F.lit(by)).drop("_step"))
+    """One row per grid value low, low+by, ... not beyond high.
+
+    Blocks are made first, dealt out, and exploded to their values, so neither a row nor a task ever
+    holds a long range.
+    """
+    steps = F.floor((high - low) / by + F.lit(1e-10)).cast("long")
+    blocks = df.withColumn("_last", steps).withColumn("_start", F.explode(F.when(
+        F.col("_last") >= 0, F.sequence(F.lit(0).cast("long"), F.floor(F.col("_last") / GRID_BLOCK)))))
+    first = F.col("_start") * GRID_BLOCK
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (blocks.repartition(tasks).withColumn("_step", F.explode(F.sequence(first, F.least(first + GRID_BLOCK - 1, F.col("_last")))))
+            .withColumn(name, low + F.col("_step") * F.lit(by)).drop("_step", "_start", "_last"))

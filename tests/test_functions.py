@@ -107,6 +107,27 @@ def test_t_quantile_against_published_values(spark):
         assert t == pytest.approx(table[n], abs=6e-5)
 
 
+def test_t_quantile_to_full_precision(spark):
+    """Closed forms for 1, 2 and 4 degrees; two-sided 99 % points; both sides of the change to the expansion."""
+    got = dict(values(spark, "n int", [(n,) for n in (0, 1, 2, 3, 4, 10, 999, 1000, 1001, 1002)], F.col("n"), fn.t_quantile(0.99, F.col("n"))))
+    assert got[0] is None and got[1] == pytest.approx(math.tan(0.495 * math.pi), rel=1e-12)
+    assert got[2] == pytest.approx(0.99 * math.sqrt(2 / (1 - 0.99**2)), rel=1e-12)
+    four = math.sqrt(1 - 0.99**2)
+    assert got[4] == pytest.approx(2 * math.sqrt(math.cos(math.acos(four) / 3) / four - 1), rel=1e-12)
+    assert got[3] == pytest.approx(5.840909309733, rel=1e-11) and got[10] == pytest.approx(3.169272672616, rel=1e-11)
+    second = [got[999] - 2 * got[1000] + got[1001], got[1000] - 2 * got[1001] + got[1002]]
+    assert second[0] == pytest.approx(second[1], rel=0.01)
+
+
+def test_numeric_grid_makes_no_long_row(spark):
+    df = spark.createDataFrame([(0.0, 1000.0), (5.0, 5.0)], "lo double, hi double")
+    grid = fn.numeric_grid(df, F.col("lo"), F.col("hi"), 0.01, "x")
+    assert grid.count() == 100_002 and grid.agg(F.max("x")).first()[0] == pytest.approx(1000.0)
+    assert grid.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 60_000
+    whole = fn.numeric_grid(spark.createDataFrame([(0.0, 3e9)], "lo double, hi double"), F.col("lo"), F.col("hi"), 1.0, "x")
+    assert len(whole.take(3)) == 3
+
+
 def test_numeric_grid(spark):
     df = spark.createDataFrame([(1.0, 1.3), (2.0, 1.0)], "lo double, hi double")
     got = sorted(r["x"] for r in fn.numeric_grid(df, F.col("lo"), F.col("hi"), 0.1, "x").collect())
