@@ -343,7 +343,7 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFr
     num, den = percent, 100
     kind = docs.schema["doc_id"].dataType.simpleString()
     keyed = with_keys(docs)
-    named = stored(keyed.mapInArrow(_named(k), f"doc_id {kind}, _doc long, _row int, set long, n_shingles long"))
+    named = stored(keyed.mapInArrow(_named(k), f"doc_id {kind}, _doc long, _row long, set long, n_shingles long"))
     met = stored(keyed.select("text").mapInArrow(_posted(k, num, den, 4 * parts), "bucket int, data binary")
                  .repartition(parts, "bucket").select("data").mapInArrow(_meet, "a long, b long, members binary"))
     pairs = stored(met.where("members is null").select("a", "b").distinct())

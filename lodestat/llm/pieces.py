@@ -31,6 +31,8 @@ TABLE = 500_000
 FREE, START = -9, -2
 #: Bytes of a character by the upper half of its first byte.
 CHAR_WIDTH = np.array([1] * 12 + [2, 2, 3, 4])
+#: Between words: a byte that no UTF-8 text has.
+BETWEEN = b"\xff"
 
 
 class Matcher:
@@ -94,7 +96,7 @@ class Matcher:
     def _match(self, words: list[str]) -> None:
         """Encodes new words."""
         raw = [w.encode() for w in words]
-        data = np.frombuffer(b"\0".join(raw) + b"\0" * (self.width + 1), np.uint8)
+        data = np.frombuffer(BETWEEN.join(raw) + BETWEEN * (self.width + 1), np.uint8)
         suffix = np.lib.stride_tricks.sliding_window_view(data, self.width).copy().view(f"S{self.width}").ravel()
         order = np.argsort(suffix, kind="stable")
         suffix = suffix[order]
@@ -103,7 +105,7 @@ class Matcher:
         start = order[np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
         size, piece = np.repeat(self.sizes, n), np.repeat(self.numbers, n)
         # characters without a piece
-        lead = (data != 0) & (data & 0xC0 != 0x80)
+        lead = (data != BETWEEN[0]) & (data & 0xC0 != 0x80)
         whole = lead[start] & (size == CHAR_WIDTH[data[start] >> 4])
         lead[start[whole]] = False
         alone = np.flatnonzero(lead)

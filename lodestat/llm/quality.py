@@ -191,7 +191,7 @@ def resample(docs: DataFrame, labels: DataFrame, sample: int = 20_000, sharpness
     """doc_id, row keys, log_weight (of wanted against raw, up to a constant), and whether the row is kept."""
     ratio, share, chosen = fit(docs, labels, sample)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    weighed = with_keys(docs).mapInArrow(_weighed(ratio, share), f"doc_id {kind}, _doc long, _row int, log_weight double")
+    weighed = with_keys(docs).mapInArrow(_weighed(ratio, share), f"doc_id {kind}, _doc long, _row long, log_weight double")
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "_doc", "_row"), 11).cast("double") + 0.5) / float(2**53)
     scored = stored(weighed.withColumn("value", sharpness * F.col("log_weight") - F.log(-F.log(u))))
     if not share[WANTED]:

@@ -28,11 +28,11 @@ from lodestat.llm.text import (
 )
 from lodestat.sources.files import stored
 
-RUN = np.dtype([("key", "<u8"), ("ctx", "<u8"), ("doc", "<i8"), ("row", "<i4"), ("start", "<u4"), ("more", "<u2"), ("lead", "<u2"), ("state", "u1")])
+RUN = np.dtype([("key", "<u8"), ("ctx", "<u8"), ("doc", "<i8"), ("row", "<i8"), ("start", "<u4"), ("more", "<u2"), ("lead", "<u2"), ("state", "u1")])
 OPEN = np.dtype([("key", "<u8"), ("start", "<u4"), ("more", "<u2")])
 SPAN = np.dtype([("start", "<u4"), ("end", "<u4")])
-WINDOW = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("row", "<i4"), ("start", "<u4")])
-PIECE = np.dtype([("key", "<u8"), ("doc", "<i8"), ("row", "<i4"), ("start", "<u4"), ("more", "<u2")])
+WINDOW = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("row", "<i8"), ("start", "<u4")])
+PIECE = np.dtype([("key", "<u8"), ("doc", "<i8"), ("row", "<i8"), ("start", "<u4"), ("more", "<u2")])
 ONCE, TWICE, SETTLED = 0, 1, 2
 
 
@@ -262,8 +262,11 @@ def merged(blobs: list[bytes] | None) -> np.ndarray:
 
 
 def row_keys() -> dict[str, Column]:
-    """Two keys of a row; a null doc_id comes before all others."""
-    return {"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "_row": F.pmod(F.xxhash64("text"), F.lit(2**31)).cast("int")}
+    """Two keys of a row: its doc_id, null before all others, and 64 bits of whether there is one and of the text.
+
+    Rows that share both have the same text and get the same result.
+    """
+    return {"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "_row": F.xxhash64(F.col("doc_id").isNull(), "text")}
 
 
 def with_keys(docs: DataFrame) -> DataFrame:
@@ -279,7 +282,7 @@ def repeated_spans(docs: DataFrame, size: int, k: int, words: bool, any_order: b
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    kept, buckets = "_doc long, _row int, spans binary, open binary", 4 * parts
+    kept, buckets = "_doc long, _row long, spans binary, open binary", 4 * parts
     keyed = with_keys(docs)
     first = (keyed.select("_doc", "_row", "text").mapInArrow(_first_pass(size, k, words, buckets, any_order), "bucket int, data binary")
              .repartition(parts, "bucket").select("data").mapInArrow(_meet(size, any_order), kept))
