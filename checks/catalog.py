@@ -862,8 +862,8 @@ def loglog_band(spark, sf_dir):
 SMOOTH = """WITH p AS (SELECT parameter, year::DOUBLE AS x, count(*) AS n, sum(rvalue) AS sy FROM storm
     WHERE rvalue IS NOT NULL GROUP BY ALL),
   b AS (SELECT parameter, min(x) AS lo, max(x) AS hi, sum(n) AS total FROM p GROUP BY 1),
-  g AS (SELECT p.*, i, lo + (hi - lo) * i / 19 AS g, total, abs(x - (lo + (hi - lo) * i / 19)) AS d
-    FROM p JOIN b USING (parameter), range(0, 20) r(i)),
+  g AS (SELECT p.*, i, lo + (hi - lo) * i / 79 AS g, total, abs(x - (lo + (hi - lo) * i / 79)) AS d
+    FROM p JOIN b USING (parameter), range(0, 80) r(i)),
   q AS (SELECT parameter, i, min(d) AS reach FROM (SELECT *, sum(n) OVER (PARTITION BY parameter, i
     ORDER BY d, x ROWS UNBOUNDED PRECEDING) AS seen FROM g) WHERE seen >= floor(total * 0.75 + 1e-5)
     GROUP BY ALL),
@@ -876,7 +876,7 @@ SMOOTH = """WITH p AS (SELECT parameter, year::DOUBLE AS x, count(*) AS n, sum(r
 @query(f"""{SMOOTH} SELECT parameter, {rnd('g', 'x')}, {rnd('''(t0*(s2*s4-s3*s3) - t1*(s1*s4-s2*s3)
   + t2*(s1*s3-s2*s2)) / (s0*(s2*s4-s3*s3) - s1*(s1*s4-s2*s3) + s2*(s1*s3-s2*s2))''', 'y')} FROM m""")
 def local_smooth(spark, sf_dir):
-    return trend.local_smooth(S.storm(spark, sf_dir), "year", "rvalue", ["parameter"], grid_points=20)
+    return trend.local_smooth(S.storm(spark, sf_dir), "year", "rvalue", ["parameter"], grid_points=80)
 
 
 # --- fractions and oxygen -----------------------------------------------------------------------
@@ -1057,11 +1057,11 @@ def lower_mean_points(spark, sf_dir):
     return explore.lower_mean_points(S.storm(spark, sf_dir))
 
 
-@query(f"""SELECT {rnd('0.001 + 0.5 * i', 'x')}, {rnd('0.001 + 0.5 * i', 'y')}, {rnd('(0.001 + 0.5 * i) / 2', 'half', 6)}
+@query(f"""SELECT {rnd('0.001 + 0.01 * i', 'x')}, {rnd('0.001 + 0.01 * i', 'y')}, {rnd('(0.001 + 0.01 * i) / 2', 'half', 6)}
   FROM range(0, 100000) r(i), (SELECT max(mdl) AS top FROM storm WHERE contains(rvqual, 'LowerMean')
-    AND mdl < 1000) WHERE i <= floor((top - 0.001) / 0.5 + 1e-10)""", digits=6)
+    AND mdl < 1000) WHERE i <= floor((top - 0.001) / 0.01 + 1e-10)""", digits=6)
 def guide_lines(spark, sf_dir):
-    return explore.guide_lines(explore.lower_mean_points(S.storm(spark, sf_dir)), by=0.5)
+    return explore.guide_lines(explore.lower_mean_points(S.storm(spark, sf_dir)), by=0.01)
 
 
 @query(f"SELECT parameter, {rnd('1.1 * max(rvalue)', 'y_max')} FROM storm GROUP BY 1")
