@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from checks import stages as S
+from checks.pcasql import SITE_CELLS, YEARLY_CELLS, nipals_sql, q2_sql
 from checks.sqltext import HUMAN_TEST, build, norm_cdf, norm_quantile, nudge, rnd
 from lodestat import functions as fn
 from lodestat.operators import (
@@ -1069,25 +1070,35 @@ def parameter_maxima(spark, sf_dir):
     return explore.parameter_maxima(S.storm(spark, sf_dir))
 
 
-# --- principal components (iterative, no SQL) ---------------------------------------------------------
+# --- principal components ---------------------------------------------------------------------------
 
 def _site_matrix(spark, sf_dir):
-    """Streams by parameters; a tenth of the cells is missing."""
-    means = reshape.group_mean(S.storm(spark, sf_dir)).filter(
-        F.pmod(F.xxhash64(*CELL), F.lit(10)) != 0)
-    return pca.packed_rows(means, "stream", "parameter", "grand_mean", PARAMETERS)
+    """Streams by parameters."""
+    return pca.packed_rows(reshape.group_mean(S.storm(spark, sf_dir)), "stream", "parameter", "grand_mean", PARAMETERS)
 
 
-def _pca(method: str):
+def _yearly_matrix(spark, sf_dir):
+    """Stream and year by parameters; a cell is missing where a year has no rows of a parameter."""
+    means = reshape.group_mean(S.storm(spark, sf_dir), ["stream", "parameter", "year"]).withColumn(
+        "row", F.concat_ws("/", "stream", "year"))
+    return pca.packed_rows(means, "row", "parameter", "grand_mean", PARAMETERS)
+
+
+def _pca(method: str, matrix, name: str, sql: str | None = None):
     def run(spark, sf_dir):
-        fitted = pca.pca_missing(_site_matrix(spark, sf_dir), PARAMETERS, 3, method, steps=15)
-        return fitted.loadings_table(spark)
-    run.__name__ = f"pca_{method.lower()}"
-    return run
+        return pca.pca_missing(matrix(spark, sf_dir), PARAMETERS, 5, method).loadings_table(spark)
+    run.__name__ = name
+    query(sql)(run)
 
 
-for _method in pca.METHODS:
-    query()(_pca(_method))
+_pca("nipals", _yearly_matrix, "pca_nipals", nipals_sql(YEARLY_CELLS, (400, 1000, 1500, 1000, 600)))
+_pca("nipals", _site_matrix, "pca_nipals_sites", nipals_sql(SITE_CELLS, [400] * 5))
+# Without missing cells all methods have the same axes.
+_pca("svdImpute", _site_matrix, "pca_svdimpute", nipals_sql(SITE_CELLS, [400] * 5))
+_pca("ppca", _site_matrix, "pca_ppca", nipals_sql(SITE_CELLS, [400] * 5))
+# With missing cells these two have no SQL; tests compare them with the methods on whole rows.
+_pca("svdImpute", _yearly_matrix, "pca_svdimpute_gaps")
+_pca("ppca", _yearly_matrix, "pca_ppca_gaps")
 
 
 @query()
@@ -1097,12 +1108,22 @@ def pca_embeddings(spark, sf_dir):
     size = vectors.select(F.max(F.size("embedding")).alias("n")).first()["n"]
     packed = vectors.select(F.col("vec_id").alias("row"),
                             F.col("embedding").cast("array<double>").alias("cells"))
-    fitted = pca.pca_missing(packed, [f"e{i}" for i in range(size)], 2, "svdImpute", steps=3)
+    fitted = pca.pca_missing(packed, [f"e{i}" for i in range(size)], 2, "svdImpute")
     return fitted.scores.select("row", *[F.col("scores")[c].alias(f"pc{c + 1}") for c in range(2)])
 
 
+def _q2(spark, sf_dir, method: str, k: int):
+    shares = pca.pca_q2(_yearly_matrix(spark, sf_dir), PARAMETERS, k, method, folds=10)
+    return [(method, i + 1, v) for i, v in enumerate(shares)]
+
+
 @query()
 def pca_q2(spark, sf_dir):
-    shares = pca.pca_q2(_site_matrix(spark, sf_dir), PARAMETERS, 2, "nipals", folds=5, steps=6)
-    return spark.createDataFrame([(i + 1, v) for i, v in enumerate(shares)],
-                                 "components int, q2 double")
+    """All methods, five components, ten folds."""
+    rows = [r for method in pca.METHODS for r in _q2(spark, sf_dir, method, 5)]
+    return spark.createDataFrame(rows, "method string, components int, q2 double")
+
+
+@query(q2_sql(YEARLY_CELLS, 10))
+def pca_q2_first(spark, sf_dir):
+    return spark.createDataFrame(_q2(spark, sf_dir, "nipals", 1), "method string, components int, q2 double")
