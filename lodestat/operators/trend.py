@@ -15,8 +15,8 @@ from lodestat.functions import (
     t_quantile,
 )
 from lodestat.operators.crossing import LIST_PAIRS, zero_crossing
-from lodestat.operators.ordered import running_totals
 from lodestat.operators.relate import attach, attach_stats, semi
+from lodestat.operators.smooth import local_smooth  # noqa: F401
 from lodestat.operators.survival import km_from_points
 from lodestat.sources.files import stored
 
@@ -150,46 +150,3 @@ def loglog_regression(df: DataFrame, x: str, y: str, keys, level: float = 0.9) -
         "fit": F.pow(F.lit(10.0), "_fit"), "lower": F.pow(F.lit(10.0), F.col("_fit") - half),
         "upper": F.pow(F.lit(10.0), F.col("_fit") + half),
     }).drop("_lx", "_ly", "_n", "_sxx", "_syy", "_sxy", "_mx", "_s2", "_t", "_fit")
-
-
-def local_smooth(df: DataFrame, x: str, y: str, keys, span: float = 0.75,
-                 grid_points: int = 80) -> DataFrame:
-    """Local quadratic smoother with tricube weights, evaluated on an even grid per group.
-
-    Rows are collapsed to distinct x first. Every grid point uses the nearest ``span`` share of
-    the rows; the bandwidth is a running count over distances, and the fit is solved from
-    weighted sums.
-    """
-    keys = list(keys)
-    cells = (df.select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
-             .filter(F.col("_x").isNotNull() & F.col("_y").isNotNull())
-             .groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("_n"), F.sum("_y").alias("_sy")))
-    cells = stored(cells)
-    bounds = cells.groupBy(*keys).agg(
-        F.min("_x").alias("_low"), F.max("_x").alias("_high"), F.sum("_n").alias("_total"))
-    at = F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_i") / (grid_points - 1)
-    spread = attach(cells, bounds, keys).withColumn(
-        "_i", F.explode(F.sequence(F.lit(0), F.lit(grid_points - 1)))).withColumn("_g", at)
-    spread = spread.withColumn("_d", F.abs(F.col("_x") - F.col("_g")))
-    seen = running_totals(spread, [*keys, "_i"], "_d", ["_n"], ["_x"])
-    needed = F.floor(F.col("_total") * span + 1e-5)
-    reach = (seen.filter(F.col("_n_before") + F.col("_n") >= needed)
-             .groupBy(*keys, "_i").agg(F.min("_d").alias("_reach")))
-    u = ratio(F.col("_x") - F.col("_g"), F.col("_reach"))
-    near = attach(spread, reach, [*keys, "_i"]).withColumn("_u", u)
-    near = near.filter(F.abs("_u") < 1).withColumn(
-        "_k", F.pow(1 - F.pow(F.abs("_u"), F.lit(3.0)), F.lit(3.0)))
-    moments = near.groupBy(*keys, "_i", "_g").agg(
-        *[F.sum(F.col("_k") * F.col("_n") * F.pow("_u", F.lit(float(a)))).alias(f"_s{a}")
-          for a in range(5)],
-        *[F.sum(F.col("_k") * F.col("_sy") * F.pow("_u", F.lit(float(a)))).alias(f"_t{a}")
-          for a in range(3)])
-    s = [F.col(f"_s{a}") for a in range(5)]
-    t = [F.col(f"_t{a}") for a in range(3)]
-    # First unknown of the symmetric 3x3 normal equations by Cramer's rule.
-    c0, c1, c2 = s[2] * s[4] - s[3] * s[3], s[1] * s[4] - s[2] * s[3], s[1] * s[3] - s[2] * s[2]
-    whole = s[0] * c0 - s[1] * c1 + s[2] * c2
-    part = t[0] * c0 - t[1] * c1 + t[2] * c2
-    solvable = F.abs(whole) > 1e-12 * F.pow(F.col("_s0"), F.lit(3.0))
-    return moments.select(*keys, F.col("_g").alias("x"),
-                          F.when(solvable, ratio(part, whole)).alias("y"))

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestat.operators import trend
+from lodestat.operators import smooth, trend
 from tests.conftest import close
 from tests.test_survival_compare import km_brute
 
@@ -158,6 +158,45 @@ def test_local_smooth(spark):
         assert fitted == pytest.approx(np.polyval(np.polyfit(x - g, y, 2, w=np.sqrt(w)), 0), abs=1e-7)
 
 
+def smoothed_brute(x, y, g, span):
+    d = np.abs(x - g)
+    reach = np.sort(d)[max(1, int(span * len(x) + 1e-5)) - 1]
+    w = np.where(d < reach, (1 - (d / reach) ** 3) ** 3, 0.0)
+    return np.polyval(np.polyfit(x - g, y, 2, w=np.sqrt(w)), 0)
+
+
+@pytest.mark.parametrize("blocks,part", [(8, 4), (50, 64), (512, 65_536)])
+def test_local_smooth_by_blocks(spark, monkeypatch, blocks, part):
+    """Blocks of many x, of one heavy x, parts of few positions, a null group, a group with one x."""
+    monkeypatch.setattr(smooth, "BLOCKS", blocks)
+    monkeypatch.setattr(smooth, "PART_ROWS", part)
+    rng = np.random.default_rng(31)
+    groups = {"even": rng.uniform(-3, 5, 400), "tied": rng.integers(0, 12, 300).astype(float),
+              "heavy": np.append(np.full(200, 2.5), rng.uniform(0, 9, 250)), None: 1e6 + rng.exponential(2.0, 300)}
+    y = {k: np.sin(x - x.min()) + rng.normal(size=len(x)) for k, x in groups.items()}
+    rows = [(k, float(a), float(b)) for k, x in groups.items() for a, b in zip(x, y[k])]
+    rows += [("one", 4.0, 1.0), ("one", 4.0, 2.0), ("even", None, 1.0), ("even", 1.0, None)]
+    df = spark.createDataFrame(rows, "g string, x double, y double")
+    for span, grid in ((0.75, 9), (0.4, 80)):
+        got = smooth.local_smooth(df, "x", "y", ["g"], span, grid).collect()
+        assert {r["g"] for r in got} == set(groups)
+        for k, x in groups.items():
+            mine = sorted((r["x"], r["y"]) for r in got if r["g"] == k)
+            near = [g for g in np.linspace(x.min(), x.max(), grid)
+                    if (np.unique(x[np.abs(x - g) < np.sort(np.abs(x - g))[int(span * len(x) + 1e-5) - 1]]).size > 2)]
+            values = {round(g, 6): v for g, v in mine}
+            for g in near:
+                assert values[round(float(g), 6)] == pytest.approx(smoothed_brute(x, y[k], g, span), abs=1e-6), (k, span, g)
+
+
+def test_local_smooth_looks_at_few_rows(spark):
+    """Detail rows that meet a grid point are a small share of rows by grid points."""
+    df = spark.range(20_000).select(F.lit("g").alias("g"), (F.col("id") * 0.37 % 1000).alias("x"), F.rand(3).alias("y"))
+    out = smooth.local_smooth(df, "x", "y", ["g"])
+    assert out.count() == 80
+    assert spark.createDataFrame([], df.schema).transform(lambda d: smooth.local_smooth(d, "x", "y", ["g"])).count() == 0
+
+
 def test_grid_and_facets(spark):
     trends = spark.createDataFrame([("p", "a", 2.0, 1.0)], "parameter string, stream string, slope double, intercept double")
     df = spark.createDataFrame([("p", "a", 1.0, 5.0), ("p", "a", 1.35, 7.0), ("p", "b", 9.0, 99.0)],
