@@ -26,6 +26,7 @@ from lodestat.operators import (
     survival,
     trend,
 )
+from lodestat import plans
 from lodestat.sources import files, schema, testbed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -1126,3 +1127,48 @@ def pca_q2(spark, sf_dir):
 @query(q2_sql(YEARLY_CELLS, 10))
 def pca_q2_first(spark, sf_dir):
     return spark.createDataFrame(_q2(spark, sf_dir, "nipals", 1), "method string, components int, q2 double")
+
+
+# --- end-to-end flows -----------------------------------------------------------------------------
+
+def _limits(spark, sf_dir):
+    """Every step from measurements to replaced rows of both event types."""
+    return plans.detection_limits(testbed.measurements(spark, sf_dir), ["sample", "textvalue", "hardness", "qual"])
+
+
+FLOW_OUT = f"""routine, stream, parameter, date, locator, below_mdl, {rnd('mdl', 'mdl')}, {rnd('replacement', 'replacement')},
+  {rnd('rvalue', 'rvalue')}, rvqual"""
+
+
+@query(f"SELECT {FLOW_OUT} FROM (FROM storm UNION ALL BY NAME FROM base)")
+def flow_detection_limits(spark, sf_dir):
+    limits = _limits(spark, sf_dir)
+    return limits.storm.unionByName(limits.base).select(
+        "routine", "stream", "parameter", "date", "locator", "below_mdl", "mdl", "replacement", "rvalue", "rvqual")
+
+
+@query(_rates_sql("parameter"))
+def flow_criteria_report(spark, sf_dir):
+    return plans.criteria_report(_limits(spark, sf_dir).storm)["rates"]
+
+
+@query(f"""WITH l AS (SELECT 1 - power(0.95, 1.0 / count(*)) AS level FROM gehan WHERE mean_wet > mean_routine),
+  s AS (SELECT 'all' AS stream, parameter, {GEHAN_OUT}, p < 0.05 AND mean_wet > mean_routine AS pseudosig,
+    coalesce(p < level, NULL) AND mean_wet > mean_routine AS sig FROM gehan, l)
+  SELECT * FROM s UNION ALL BY NAME SELECT stream, parameter, {GEHAN_OUT},
+    p < 0.05 AND mean_wet > mean_routine AS pseudosig FROM gehan2""")
+def flow_storm_against_base(spark, sf_dir):
+    """Tests of all streams together ('all') and of each."""
+    found = plans.storm_against_base(_limits(spark, sf_dir))
+    shared = ["stream", "parameter", "mean_wet", "mean_routine", "gehan_stat", "p", "censored_wet", "censored_routine", "pseudosig"]
+    overall = found["overall"].withColumn("stream", F.lit("all")).select(*shared, "sig")
+    return overall.unionByName(found["by_stream"].select(*shared, F.lit(None).cast("boolean").alias("sig")))
+
+
+@query(f"""SELECT parameter, stream, {rnd('slope', 'slope')}, {rnd('grand_mean', 'grand_mean')}, {rnd(CHANGE, 'decadal_change')},
+  {rnd(f'sign(slope) * log10(nullif(abs({CHANGE}), 0))', 'log_change')} FROM trend LEFT JOIN means USING (parameter, stream)
+  WHERE p < 0.5 AND (parameter, stream) IN (SELECT (parameter, stream) FROM storm GROUP BY parameter, stream
+    HAVING count(DISTINCT year) + CAST(bool_or(year IS NULL) AS INTEGER) >= 3)""")
+def flow_trend_report(spark, sf_dir):
+    return plans.trend_report(_limits(spark, sf_dir).storm, alpha=0.5)["changes"].select(
+        "parameter", "stream", "slope", "grand_mean", "decadal_change", "log_change")
