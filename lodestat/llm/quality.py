@@ -45,39 +45,66 @@ WANTED, LOW, TOXIC = 0, 1, 2
 CAPITAL = np.isin(np.arange(256), np.arange(65, 91))
 
 
+#: Blocks looked at together, and bytes of text whose words are found together (one longer text excepted).
+TOGETHER, FEW_BYTES = 512, 1 << 20
+
+
 def features(data: np.ndarray, offsets: np.ndarray):
-    """Buckets of all blocks' n-grams, each once in a block; where each block's begin; the first block of each text and the number of all; the words of each text."""
+    """For few blocks at a time: the first of them, the buckets of their n-grams, each once in a block, and where each block's begin.
+
+    First come the first block of each text with the number of all, and the words of each text.
+    """
     starts, ends, begin = word_spans(data, offsets)
+    words = np.diff(begin)
+    blocks = np.maximum(1, -(-words // BLOCK))
+    first_block = np.append(0, np.cumsum(blocks))
+    n = int(first_block[-1])
+    of = np.repeat(np.arange(len(words)), blocks)
+    of_text = np.append(begin[of] + (np.arange(n) - first_block[of]) * words[of] // blocks[of], begin[-1:])
+    heads = begin[:-1][words > 0]  # first words of texts repeat nothing
+
+    def parts():
+        for a in range(0, n, TOGETHER):
+            b = min(n, a + TOGETHER)
+            yield a, *_block_features(data, starts, ends, of_text[a:b + 1], heads)
+
+    return first_block, words, parts()
+
+
+def _block_features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, begin: np.ndarray, heads: np.ndarray):
+    """Buckets of some blocks' n-grams and where each block's begin; ``begin``: their first words and the end."""
+    n, w0, w1 = len(begin) - 1, int(begin[0]), int(begin[-1])
+    lead = int(w0 > 0 and w1 > w0)  # the word before the first is looked at as well
+    starts, ends = starts[w0 - lead:w1], ends[w0 - lead:w1]
+    shift = int(starts[0]) if len(starts) else 0
+    data = data[shift:int(ends[-1]) if len(ends) else 0]
+    starts, ends = starts - shift, ends - shift
     raw, low = Fingerprints(BYTE_VALUES[data]), Fingerprints(BYTE_VALUES[LOWER[data]])
     whole = low.of(starts, ends)
-    head = mix(low.of(starts, np.minimum(starts + 5, ends)) + np.uint64(1))
-    tail = mix(raw.of(np.maximum(ends - 2, starts), ends) + np.uint64(2))
     again = np.zeros(len(starts), bool)
     again[1:] = whole[1:] == whole[:-1]
-    again[begin[:-1][begin[:-1] < len(starts)]] = False
+    again = again[lead:]
+    again[heads[(heads >= w0) & (heads < w1)] - w0] = False
+    whole, starts, ends = whole[lead:], starts[lead:], ends[lead:]
+    head = mix(low.of(starts, np.minimum(starts + 5, ends)) + np.uint64(1))
+    tail = mix(raw.of(np.maximum(ends - 2, starts), ends) + np.uint64(2))
     capitals = np.append(0, np.cumsum(CAPITAL[data]))
     shout = (capitals[ends] - capitals[starts]) >= 2
     flags = mix(again.astype(np.uint64) + np.uint64(2) * shout.astype(np.uint64) + np.uint64(1000))
-    words = np.diff(begin)
-    blocks = np.maximum(1, -(-words // BLOCK))
-    first_block = np.append(0, np.cumsum(blocks))
-    n = int(first_block[-1])
-    of = np.repeat(np.arange(len(words)), blocks)
-    begin = np.append(begin[of] + (np.arange(n) - first_block[of]) * words[of] // blocks[of], begin[-1:])
     each = np.stack([whole, head, tail, flags], axis=1).reshape(-1)
-    at = 4 * begin
+    at = 4 * (begin - w0)
     for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
         each[a:b].sort()
-    text = np.repeat(np.arange(n), np.diff(at))
-    first = group_starts(text, each)
+    block = np.repeat(np.arange(n), np.diff(at))
+    first = group_starts(block, each)
     count = np.diff(np.append(first, len(each)))
-    text, each = text[first], each[first]
-    level = np.floor(np.log2(np.diff(begin)[text] / count))
+    block, each = block[first], each[first]
+    level = np.floor(np.log2(np.diff(begin)[block] / count))
     often = level < LEVELS
-    text = np.append(text, text[often])
+    block = np.append(block, block[often])
     each = np.append(mix(each), mix(each[often] + np.uint64(1) + np.maximum(level[often], 0).astype(np.uint64)))
-    order = np.argsort(text, kind="stable")
-    return (each[order] & np.uint64(BUCKETS - 1)).astype(np.int64), np.searchsorted(text[order], np.arange(n + 1)), first_block, words
+    order = np.argsort(block, kind="stable")
+    return (each[order] & np.uint64(BUCKETS - 1)).astype(np.int64), np.searchsorted(block[order], np.arange(n + 1))
 
 
 def _sampled(batches):
@@ -95,13 +122,20 @@ def _counted(batches):
     for batch in batches:
         data, offsets = buffer(batch.column("text"))
         kind = batch.column("kind").to_numpy(zero_copy_only=False)
-        for a, b in slices(offsets):
-            bucket, at, block, _ = features(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
-            n = np.diff(at[block])
-            of = np.repeat(kind[a:b], n).astype(np.int64)
-            text = np.repeat(np.arange(b - a), n)
-            once = np.unique(np.stack([text, of, bucket]), axis=1) if len(bucket) else np.zeros((3, 0), np.int64)
-            np.add.at(total, (once[1], once[2]), 1)
+        for a, b in slices(offsets, FEW_BYTES):
+            first_block, _, parts = features(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
+            of = np.repeat(np.arange(b - a), np.diff(first_block))
+            open_text, open_buckets = -1, np.zeros(0, np.int64)  # the text that goes on in the next part
+            for first, bucket, at in parts:
+                text = np.repeat(of[first:first + len(at) - 1], np.diff(at))
+                once = np.unique(text * BUCKETS + bucket)
+                text, bucket = once // BUCKETS, once % BUCKETS
+                bucket_new = ~((text == open_text) & np.isin(bucket, open_buckets))
+                np.add.at(total, (kind[a + text[bucket_new]], bucket[bucket_new]), 1)
+                last = of[first + len(at) - 2]
+                held = bucket[text == last]
+                open_buckets = np.union1d(open_buckets, held) if last == open_text else held
+                open_text = last
             np.add.at(total[:, BUCKETS], kind[a:b], 1)
     k, bucket = np.nonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(np.where(bucket == BUCKETS, -1, bucket), pa.int32()), pa.array(total[k, bucket])],
@@ -109,26 +143,36 @@ def _counted(batches):
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[np.ndarray, np.ndarray, DataFrame]:
-    """Log ratio of each class to wanted text by bucket, the classes' shares, and the sampled labels."""
+    """Log ratio of the two unwanted classes to wanted text by bucket, the classes' shares, and the sampled labels."""
     sound = labels.where("doc_id is not null and quality is not null and toxic is not null")
     kind = F.when(F.max("toxic") > 0, TOXIC).when(F.min("quality") < 1, LOW).otherwise(WANTED)
     chosen = stored(sound.groupBy("doc_id").agg(kind.alias("kind")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
     texts = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")  # at most ``sample`` rows
     texts = texts.select("text", "kind").mapInArrow(_sampled, "text string, kind int, least long").dropDuplicates(["least", "kind"])
-    found = (texts.select("text", "kind").mapInArrow(_counted, "kind int, bucket int, n long")
-             .groupBy("kind", "bucket").agg(F.sum("n").alias("n")).toPandas())  # at most 3 * (BUCKETS + 1) rows
-    counts = np.zeros((3, BUCKETS + 1))
-    counts[found["kind"], found["bucket"]] = found["n"]
-    texts_of, counts = counts[:, -1], counts[:, :-1]
+    of_class = [F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in (WANTED, LOW, TOXIC)]
+    found = stored(texts.select("text", "kind").mapInArrow(_counted, "kind int, bucket int, n long").groupBy("bucket").agg(*of_class))
+    whole = found.where("bucket = -1").first()
+    texts_of = np.array([float(whole[f"n{k}"]) for k in (WANTED, LOW, TOXIC)]) if whole else np.zeros(3)
+    counts = np.zeros((3, BUCKETS))
+    # only buckets come to the driver that a class holds almost significantly more often
+    told = F.lit(False)
+    for k in (LOW, TOXIC):
+        if texts_of[k] and texts_of[WANTED]:
+            n, m = F.col(f"n{k}"), F.col(f"n{WANTED}")
+            both = (n + m) / float(texts_of[k] + texts_of[WANTED])
+            spread = F.sqrt(both * (1 - both) * float(1 / texts_of[k] + 1 / texts_of[WANTED]))
+            told = told | (n / float(texts_of[k]) - m / float(texts_of[WANTED]) >= 0.99 * SIGNIFICANT * spread)
+    for r in found.where((F.col("bucket") >= 0) & told).collect():  # at most BUCKETS rows
+        counts[:, r["bucket"]] = r["n0"], r["n1"], r["n2"]
     share = texts_of / max(1.0, texts_of.sum())
-    ratio = np.zeros((3, BUCKETS))
+    ratio = np.zeros((2, BUCKETS))
     for k in (LOW, TOXIC):
         if texts_of[k] and texts_of[WANTED]:
             both = (counts[k] + counts[WANTED]) / (texts_of[k] + texts_of[WANTED])
             spread = np.sqrt(np.maximum(both * (1 - both), 1e-12) * (1 / texts_of[k] + 1 / texts_of[WANTED]))
             p, q = (counts[k] + 0.5) / (texts_of[k] + 1), (counts[WANTED] + 0.5) / (texts_of[WANTED] + 1)
             differs = counts[k] / texts_of[k] - counts[WANTED] / texts_of[WANTED] > SIGNIFICANT * spread
-            ratio[k] = np.where(differs & (np.log(p / q) > LARGER), np.log(p / q), 0)
+            ratio[k - 1] = np.where(differs & (np.log(p / q) > LARGER), np.log(p / q), 0)
     return ratio, share, chosen
 
 
@@ -139,13 +183,17 @@ def _weighed(ratio: np.ndarray, share: np.ndarray):
         for batch in batches:
             data, offsets = buffer(batch.column("text"))
             out = [np.zeros(0)]
-            for a, b in slices(offsets):
-                bucket, at, block, words = features(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
+            for a, b in slices(offsets, FEW_BYTES):
+                first_block, words, parts = features(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
+                evidence = np.zeros((2, int(first_block[-1])))
+                for first, bucket, at in parts:
+                    for k in (LOW, TOXIC):
+                        total = np.append(0, np.cumsum(ratio[k - 1][bucket]))
+                        evidence[k - 1, first:first + len(at) - 1] = total[at[1:]] - total[at[:-1]]
                 odds = []
                 for k in (LOW, TOXIC):
-                    total = np.append(0, np.cumsum(ratio[k][bucket]))
-                    evidence = np.logaddexp.reduceat(total[at[1:]] - total[at[:-1]], block[:-1]) - np.log(np.diff(block))
-                    odds.append(prior[k] + np.where(words > 0, evidence, np.minimum(0, -5 - prior[k])))
+                    mean = np.logaddexp.reduceat(evidence[k - 1], first_block[:-1]) - np.log(np.diff(first_block))
+                    odds.append(prior[k] + np.where(words > 0, mean, np.minimum(0, -5 - prior[k])))
                 out.append(-np.logaddexp(0, np.logaddexp(*odds)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_doc"), batch.column("_row"), pa.array(np.concatenate(out))],
                                              ["doc_id", "_doc", "_row", "log_weight"])
