@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestat.operators import censor
+from lodestat.sources import testbed
 from tests.conftest import close, measured
 
 
@@ -111,6 +112,41 @@ def test_replicates(spark):
     assert None in got and got["a"]["hardness"] is None
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_replicates_reach_one_sort_by_one_shuffle(spark, monkeypatch):
+    rows = [(f"s{i % 40}", float(i), None, 0.1) for i in range(100)]
+    monkeypatch.setattr(censor, "PART_ROWS", 16, raising=False)
+    got = censor.average_replicates(censor.flag_censored(replicate_rows(spark, rows)), ["row"], crowded=64)
+    plan = plan_of(got)
+    # nothing is sorted for the sake of combining rows before the shuffle, and the rows decide on its parts
+    assert plan.count("Exchange") == 1 and plan.index("Exchange") > plan.rindex("Aggregate") and ", 7)" in plan
+    assert sum(int(r["sample"]) for r in got.collect()) == 100
+
+
+def test_crowded_replicate_sets_are_combined_before_the_shuffle(spark):
+    rows = [("a", float(i % 7), None, 0.1) for i in range(300)] + [(None, 2.0, None, 0.2)] * 200 + [
+        ("b", 1.0, None, 1.0), ("b", 3.0, "<RDL", 1.0), ("c", None, "<MDL", 4.0)]
+    df = censor.flag_censored(replicate_rows(spark, rows))
+    crowded, plain = (censor.average_replicates(df, ["row"], crowded=n) for n in (64, 10_000))
+    assert "Union" in plan_of(crowded) and "Union" not in plan_of(plain)
+    as_rows = lambda d: sorted(map(str, d.withColumns({c: F.round(c, 9) for c in ("value", "rdl")}).collect()))
+    assert as_rows(crowded) == as_rows(plain) and len(as_rows(plain)) == 4
+
+
+def test_places_join_by_their_measured_size(spark, tmp_path):
+    spark.range(3000).selectExpr("id AS s_suppkey", "concat('S', id) AS s_name", "CAST(id % 25 AS INT) AS s_nationkey"
+                                 ).write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.range(25).selectExpr("CAST(id AS INT) AS n_nationkey", "concat('N', id) AS n_name", "CAST(id % 5 AS INT) AS n_regionkey"
+                               ).write.parquet(f"{tmp_path}/nation.parquet")
+    spark.range(9000).selectExpr("id AS l_suppkey", "1 AS l_linenumber", "timestamp'2000-01-01' AS l_shipdate", "0.05D AS l_discount"
+                                 ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = testbed.oxygen(spark, str(tmp_path))
+    assert "SortMergeJoin" not in plan_of(got) and got.count() == 3000
+
+
 def test_sparse_streams_keep_missing(spark):
     df = spark.createDataFrame([("Lyon Creek B",), (None,), ("Eden Creek",)], "stream string")
     assert censor.drop_sparse_streams(df).count() == 2
