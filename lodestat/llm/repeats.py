@@ -274,24 +274,31 @@ def with_keys(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", *(c.alias(name) for name, c in row_keys().items()))
 
 
-def repeated_spans(docs: DataFrame, size: int, k: int, words: bool, any_order: bool) -> DataFrame:
-    """``docs`` with ``_spans``, the packed spans of repeated windows, or null.
-
-    ``any_order``: a window counts if it occurs twice anywhere; otherwise only its later occurrences
-    do, in order of doc_id and place.
-    """
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+def _found(keyed: DataFrame, size: int, k: int, words: bool, any_order: bool) -> DataFrame:
+    """_doc, _row and the packed spans of repeated windows of one size."""
+    parts = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kept, buckets = "_doc long, _row long, spans binary, open binary", 4 * parts
-    keyed = with_keys(docs)
     first = (keyed.select("_doc", "_row", "text").mapInArrow(_first_pass(size, k, words, buckets, any_order), "bucket int, data binary")
              .repartition(parts, "bucket").select("data").mapInArrow(_meet(size, any_order), kept))
     first = stored(first)
     left = first.where("open is not null").groupBy("_doc", "_row").agg(F.collect_list("open").alias("open"))
-    second = (keyed.select("_doc", "_row", "text").join(left, ["_doc", "_row"])
+    # with doc_id the shuffled texts are those that spans are joined to, so Spark shuffles them once
+    second = (keyed.join(left, ["_doc", "_row"])
               .mapInArrow(_second_pass(size, words, buckets), "bucket int, data binary, texts binary")
               .repartition(parts, "bucket").select("data", "texts").mapInArrow(_compare(size, words, any_order), kept))
-    spans = (first.where("spans is not null").select("_doc", "_row", "spans")
-             .union(second.where("spans is not null").select("_doc", "_row", "spans"))
-             .groupBy("_doc", "_row").agg(F.collect_list("spans").alias("_spans")))
-    return docs.drop("_doc", "_row", "_spans").withColumns(row_keys()).join(spans, ["_doc", "_row"], "left")
+    return (first.where("spans is not null").select("_doc", "_row", "spans")
+            .union(second.where("spans is not null").select("_doc", "_row", "spans"))
+            .groupBy("_doc", "_row").agg(F.collect_list("spans").alias("_spans")))
+
+
+def repeated_spans(docs: DataFrame, size: int, k: int, words: bool, any_order: bool, shorter: int | None = None) -> DataFrame:
+    """``docs`` with ``_spans``, the packed spans of repeated windows, or null.
+
+    ``any_order``: a window counts if it occurs twice anywhere; otherwise only its later occurrences
+    do, in order of doc_id and place. With ``shorter``, ``_shorter`` are the spans of windows of that size.
+    """
+    keyed = with_keys(docs)
+    out = docs.drop("_doc", "_row", "_spans", "_shorter").withColumns(row_keys()).join(_found(keyed, size, k, words, any_order), ["_doc", "_row"], "left")
+    if shorter is None:
+        return out
+    return out.join(_found(keyed, shorter, min(k, shorter), words, any_order).withColumnRenamed("_spans", "_shorter"), ["_doc", "_row"], "left")

@@ -89,6 +89,28 @@ def test_suffix_dedup(docs):
     assert {r[0]: tuple(r[1:]) for r in suffix_dedup.digests(docs).collect()} == want
 
 
+def test_suffix_dedup_shorter(spark):
+    rng = random.Random(8)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage, long = text(290), text(450)
+    texts = [text(500) + passage + text(300), passage + text(90) + passage[:199], text(700), text(20) + long, long + text(60) + passage[40:], None, "", text(199)]
+    places = {}
+    for t in texts:
+        for i in range(len(t or "") - 199):
+            places[t[i:i + 200]] = places.get(t[i:i + 200], 0) + 1
+    want = {}
+    for d, t in enumerate(texts):
+        gone = bytearray(len(t or ""))
+        for i in range(len(gone) - 199):
+            if places[t[i:i + 200]] > 1:
+                gone[i:i + 200] = b"\1" * 200
+        want[d] = (sum(gone), max(map(len, bytes(gone).split(b"\0")), default=0))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = suffix_dedup.digests(docs, shorter=200)
+    assert {r.doc_id: (r.n_repeated, r.longest_repeated) for r in got.collect()} == want
+    assert got.drop("n_repeated", "longest_repeated").exceptAll(suffix_dedup.digests(docs)).isEmpty()
+
+
 def test_jaccard_join(docs):
     sets = {}
     for d, t in corpus():
