@@ -16,6 +16,7 @@ holds the blank sign itself decodes to a blank there.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -161,9 +162,15 @@ class Matcher:
         return text[1:] if text.startswith(" ") else text
 
 
+@lru_cache(maxsize=1)
+def _matcher(path: str) -> Matcher:
+    """The process's own, with its tables of words and pairs, as a Python worker runs many tasks."""
+    return Matcher(path)
+
+
 def _encoded(path: str):
     def build(batches):
-        matcher = Matcher(path)
+        matcher = _matcher(path)
         for batch in batches:
             _, offsets = buffer(batch.column("text"))
             for a, b in slices(offsets, 2 << 20):

@@ -296,6 +296,16 @@ def test_pieces():
     assert matcher.encode([None]) == [None]
 
 
+def test_pieces_tables_outlive_a_task():
+    import pyarrow as pa
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    task = lambda text: list(pieces._encoded(path)([pa.RecordBatch.from_pydict({"doc_id": [1], "text": [text]})]))
+    task("seldom-seen one")
+    before = pieces._matcher(path)
+    assert task("another")[0]["decodes"].to_pylist() == [True]
+    assert pieces._matcher(path) is before and {"▁another", "▁one"} <= set(before.words)
+
+
 def test_quality(spark):
     rng = random.Random(3)
     good = lambda: " ".join(rng.choice("the of and a to in sun moon tree".split()) for _ in range(60))
