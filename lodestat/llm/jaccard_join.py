@@ -8,8 +8,9 @@ smallest class is compared with the others, and the links found give components.
 several components still are searched by signature tree: nodes hold the union of their members'
 token bitmaps, the range of their sizes and their component if it is one; two trees are walked at
 once, and a pair of nodes goes no further if its sizes, its largest possible overlap or its component
-rules it out. All pairs that are left are checked on the whole sets. So no link between components
-is lost, and no group is ever turned into all its pairs.
+rules it out. All pairs that are left are checked on the whole sets, in a crowded group first a few
+of each set, as the links among these leave few pairs between components. So no link between
+components is lost, and no group is ever turned into all its pairs.
 
 A-Z are lower-cased; words are runs of characters other than ASCII white space. A text with fewer
 words than a shingle is one shingle; null and blank texts have an empty set, link with nothing and
@@ -36,6 +37,8 @@ FAN = 16
 PART = 2048
 #: Groups of each set that are searched first.
 FEW = 8
+#: Candidates of each set that are looked at before all others, and how often.
+SOME, WAVES = 8, 2
 POSTING = np.dtype([("key", "<u8"), ("set", "<i8")])
 
 
@@ -287,7 +290,8 @@ def _met_before(x: np.ndarray, y: np.ndarray, group: int, again: bool) -> np.nda
     return out
 
 
-def _walked(num: int, den: int, again: bool):
+def _walked(num: int, den: int, again: bool, some: int | None = None, wave: int = 0):
+    """Pairs that may be linked; with ``some``, about as many of each set, others in each wave, and whether some were left out."""
     def build(table: pa.Table) -> pa.Table:
         names, size, label, own, upper = (table.column(c).to_numpy(zero_copy_only=False) for c in ("set", "size", "label", "own", "upper"))
         blobs = table.column("bits").to_pylist()
@@ -300,7 +304,13 @@ def _walked(num: int, den: int, again: bool):
         first = np.array([f + [0] * (FEW - len(f)) for f in table.column("first").to_pylist()], np.int64)
         new = ~_met_before(first[a], first[b], table.column("group")[0].as_py(), again)
         a, b = names[a[new]], names[b[new]]
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        a, b = np.minimum(a, b), np.maximum(a, b)
+        most = len(a) if some is None else max(1, some * len(names) // table.column("parts")[0].as_py())
+        cut = len(a) > most
+        if cut:
+            chosen = np.argpartition(mix(mix(a.view(np.uint64) + np.uint64(wave)) ^ b.view(np.uint64)), most)[:most]
+            a, b = a[chosen], b[chosen]
+        return pa.table({"a": a, "b": b, "cut": np.full(len(a), cut)})
     return build
 
 
@@ -318,7 +328,7 @@ def _parted(member: DataFrame, num: int, den: int) -> DataFrame:
                    .where("x <> y and not above").select("group", "cell", F.ceil(F.col("n") / PART).cast("int").alias("parts")))
     own = F.pmod(F.xxhash64("set"), F.col("parts")).cast("int")
     return (cells.join(mixed, ["group", "cell"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-            .select("group", "cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "upper", "set", "size", "label"))
+            .select("group", "cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "parts", "own", "upper", "set", "size", "label"))
 
 
 def _with_sets(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
@@ -327,9 +337,11 @@ def _with_sets(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
     return pairs
 
 
-def _checked(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    possible = stored(_with_sets(pairs, sets, "size", "bits").mapInArrow(_possible(num, den), "a long, b long"))
-    return stored(_with_sets(possible, sets, "hashes").select("a", "b", "hashes_a", "hashes_b").mapInArrow(_linked(num, den), "a long, b long"))
+def _checked(pairs: DataFrame, sets: DataFrame, num: int, den: int, walked: bool = False) -> DataFrame:
+    """The linked ones of pairs; a tree walk has been over the bitmaps of ``walked`` ones."""
+    if not walked:
+        pairs = stored(_with_sets(pairs, sets, "size", "bits").mapInArrow(_possible(num, den), "a long, b long"))
+    return stored(_with_sets(pairs, sets, "hashes").select("a", "b", "hashes_a", "hashes_b").mapInArrow(_linked(num, den), "a long, b long"))
 
 
 def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
@@ -359,14 +371,17 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFr
     # and a pair is taken up only in the first of those that its sets share
     few = stored(member.groupBy("set").agg(F.slice(F.array_sort(F.collect_set("group")), 1, FEW).alias("first")))
     chosen = few.select("set", F.explode("first").alias("group"))
-    for some, again in ((member.join(chosen, ["set", "group"], "left_semi"), False), (member, True)):
-        labelled = stored(some.join(labels.select(F.col("node").alias("set"), "label"), "set", "left").withColumn("label", F.coalesce("label", "set")))
-        more = (_parted(labelled, num, den).join(sets.select("set", "bits"), "set").join(few, "set")
-                .groupBy("group", "cell", "i", "j").applyInArrow(_walked(num, den, again), "a long, b long").distinct())
-        more = _checked(more, sets, num, den)
-        if not more.isEmpty():
-            links = stored(links.union(more))
-            labels = components(links)
+    for searched, again in ((member.join(chosen, ["set", "group"], "left_semi"), False), (member, True)):
+        for wave, some in enumerate([SOME] * WAVES + [None]):
+            labelled = stored(searched.join(labels.select(F.col("node").alias("set"), "label"), "set", "left").withColumn("label", F.coalesce("label", "set")))
+            found = stored(_parted(labelled, num, den).join(sets.select("set", "bits"), "set").join(few, "set")
+                           .groupBy("group", "cell", "i", "j").applyInArrow(_walked(num, den, again, some, wave), "a long, b long, cut boolean"))
+            more = _checked(found.select("a", "b").distinct(), sets, num, den, walked=True)
+            if not more.isEmpty():
+                links = stored(links.union(more))
+                labels = components(links)
+            if found.where("cut").isEmpty():
+                break  # no pair was left out
     of = named.join(labels.select(F.col("node").alias("set"), "label"), "set", "left").withColumn("label", F.coalesce("label", "set"))
     least = stored(of.where("n_shingles > 0").groupBy("label").agg(F.min("doc_id").alias("component_id"), F.min(F.struct("_doc", "_row")).alias("_first")))
     rows = of.join(least, "label", "left").select(

@@ -127,6 +127,31 @@ def test_jaccard_join(docs):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows.collect()} == {d: (len(s), part[d]) for d, s in sets.items()}
 
 
+def test_jaccard_join_takes_crowded_groups_in_waves(spark, monkeypatch):
+    # near copies of one text, of which only some are linked
+    rng = random.Random(12)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for _ in range(150):
+        w = list(base)
+        for i in rng.sample(range(120), 2 + rng.randrange(3)):
+            w[i] = f"x{rng.randrange(10**6)}"
+        texts.append(w)
+    sets = [frozenset(tuple(w[i:i + 4]) for i in range(len(w) - 3)) for w in texts]
+    linked = [(i, j) for j in range(len(sets)) for i in range(j) if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j])]
+    part = list(range(len(sets)))
+    for _ in sets:
+        for i, j in linked:
+            part[i] = part[j] = min(part[i], part[j])
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    seen, checked = [], jaccard_join._checked
+    monkeypatch.setattr(jaccard_join, "SOME", 2)
+    monkeypatch.setattr(jaccard_join, "_checked", lambda pairs, *x, **y: seen.append(pairs.count()) or checked(pairs, *x, **y))
+    got, _ = jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), k=4, percent=85)
+    assert {r.doc_id: r.component_id for r in got.collect()} == dict(enumerate(part))
+    assert len(set(part)) > 1 and len(seen) > 3, "a crowded group is to be cut"
+
+
 def test_packing(docs):
     path = public_tokenizers.path("byte_bpe_50k.json")
     got = packing.pack(packing.pieces(docs, path)).collect()
