@@ -83,7 +83,7 @@ def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_language_model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language_model.scores(table(spark, sf_dir, "documents"))
+    return language_model.scores(table(spark, sf_dir, "documents"), order=3)
 
 
 @query

@@ -266,6 +266,73 @@ def test_language_model_scores(docs, spark):
             assert abs(r.score - want) <= (len(w) - 1) * language_model.STEP
 
 
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_language_model_backs_off(docs, order):
+    """All orders against a recursive model; words unseen, contexts unseen, one word too frequent for a plain table."""
+    import math
+    from functools import lru_cache
+    tokens = {d: ["<start>"] * (order - 1) + [*words(t, lower=True), None] for d, t in corpus()}
+    counts = [{} for _ in range(order + 1)]
+    contexts = [{} for _ in range(order + 1)]
+    for d, w in tokens.items():
+        if zlib.crc32(str(d).encode()) % 5 != 1:
+            for i in range(order - 1, len(w)):
+                for n in range(1, order + 1):
+                    gram = tuple(w[i - n + 1:i + 1])
+                    counts[n][gram] = counts[n].get(gram, 0) + 1
+                    contexts[n][gram[:-1]] = contexts[n].get(gram[:-1], 0) + 1
+    total, mass = sum(counts[1].values()), language_model.MASS
+
+    @lru_cache(None)
+    def p(gram):
+        n = len(gram)
+        if n == 1:
+            return (counts[1].get(gram, 0) + .5) / (total + .5 * (len(counts[1]) + 1))
+        return (counts[n].get(gram, 0) + mass * p(gram[1:])) / (contexts[n].get(gram[:-1], 0) + mass)
+    rows = language_model.scores(docs, order=order).collect()
+    assert len(rows) == len(tokens)
+    for r in rows:
+        w = tokens[r.doc_id]
+        want = sum(math.log10(p(tuple(w[i - order + 1:i + 1]))) for i in range(order - 1, len(w)))
+        assert abs(r.score - want) <= (len(w) - order + 1) * language_model.STEP * order / 2 + 1e-9
+
+
+def test_elias_fano_and_ranges():
+    import numpy as np
+    rng = np.random.default_rng(3)
+    for n, top in ((1, 5), (40, 50), (3000, 2**62), (5000, 6000), (2000, 2**40)):
+        values = np.unique(rng.integers(0, top, n))
+        found = language_model.EliasFano.of(values)
+        assert (found.at(np.arange(len(values))) == values).all()
+        asked = np.concatenate([values, rng.integers(0, top, n), values + 1, [0, top * 2 - 1]])
+        place = {v: i for i, v in enumerate(values.tolist())}
+        assert found.find(asked).tolist() == [place.get(v, -1) for v in asked.tolist()]
+    # children of 300 parents, some without any
+    pairs = np.unique(np.stack([rng.integers(0, 300, 900), rng.integers(0, 70, 900)], axis=1), axis=0)
+    level = language_model.Level(pairs[:, 0], pairs[:, 1], 320, np.ones(len(pairs)))
+    place = {tuple(x): i for i, x in enumerate(pairs.tolist())}
+    parent, child = np.repeat(np.arange(-1, 320), 75), np.tile(np.arange(75), 321)
+    assert level.find(parent, child).tolist() == [place.get(x, -1) for x in zip(parent.tolist(), child.tolist(), strict=True)]
+
+
+def test_language_model_by_groups(docs, spark):
+    """Scores don't depend on how texts are dealt to tasks; rows that come twice are scored each."""
+    def rows(d):
+        return {r.doc_id: (r.held_out, r.n_tokens, r.n_known, r.base_score, r.score) for r in language_model.scores(d, order=3).collect()}
+    want, got = rows(docs), rows(docs.repartition(7))
+    assert all(got[d] == (*w[:3], pytest.approx(w[3]), pytest.approx(w[4])) for d, w in want.items()) and len(got) == len(want)
+    twice = language_model.scores(spark.createDataFrame(corpus() * 2, "doc_id int, text string").coalesce(1), order=3)
+    assert twice.schema["doc_id"].dataType.simpleString() == "int" and twice.count() == 2 * len(want)
+
+
+def test_registered_language_model_has_three_words(spark, tmp_path):
+    from lodestat.llm import queries
+    texts = [f"{a} b {c}" for a, c in [("a", "x"), ("y", "z")] * 200] + ["a b x", "a b z"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.score for r in queries.QUERIES["op3_language_model_scores"](spark, str(tmp_path)).collect()}
+    assert got[400] - got[401] > 0.5  # the word before tells nothing, the one before that does
+
+
 def test_fingerprints(docs):
     rows = {r.doc_id: r for r in fingerprints.fingerprints(docs).collect()}
     texts = [t or "" for _, t in corpus()]
