@@ -29,6 +29,8 @@ BLANK = "▁"
 WORD = re.compile(f"{BLANK}+[^{BLANK}]*")
 #: Entries of a task's tables of words and pairs; beyond that they start anew.
 TABLE = 500_000
+#: Bits of a slot number, and the odd factor that spreads pairs over the slots.
+CACHE, SPREAD = 20, np.int64(0x1E3779B97F4A7C15)
 FREE, START = -9, -2
 #: Bytes of a character by the upper half of its first byte.
 CHAR_WIDTH = np.array([1] * 12 + [2, 2, 3, 4])
@@ -36,6 +38,22 @@ CHAR_WIDTH = np.array([1] * 12 + [2, 2, 3, 4])
 BETWEEN = b"\xff"
 
 
+def _in_order(suffix: np.ndarray) -> np.ndarray:
+    """The suffixes' order: by the first eight bytes as a number, then those that are alike in these."""
+    width = suffix.dtype.itemsize
+    if width < 8:
+        return np.argsort(suffix, kind="stable")
+    head = np.ascontiguousarray(suffix.view(np.uint8).reshape(-1, width)[:, :8]).view(">u8").ravel().astype(np.uint64)
+    order = np.argsort(head, kind="stable")
+    head = head[order]
+    alike = np.zeros(len(head), bool)
+    alike[1:] = head[1:] == head[:-1]
+    alike[:-1] |= alike[1:]
+    at = np.flatnonzero(alike)
+    order[at] = order[at][np.argsort(suffix[order[at]], kind="stable")]
+    return order
+
+
 class Matcher:
     def __init__(self, path: str):
         import sentencepiece
@@ -50,15 +68,18 @@ class Matcher:
         for b, i in self.byte.items():
             self.bytes[i] = bytes([b])
         self.byte_ids = np.array([self.byte[b] for b in range(256)])
-        self.pieces = sorted((self.texts[i].encode(), i) for i in plain)
-        self.width = max(len(p) for p, _ in self.pieces)
+        # long pieces first, so that edges come in that order
+        self.pieces = sorted(((self.texts[i].encode(), i) for i in plain), key=lambda p: (-len(p[0]), p[0]))
+        self.width = len(self.pieces[0][0])
         kind = f"S{self.width}"
         self.low = np.array([p for p, _ in self.pieces], kind)
         self.high = np.array([p + b"\xff" * (self.width - len(p)) for p, _ in self.pieces], kind)
         self.sizes, self.numbers = np.array([len(p) for p, _ in self.pieces]), np.array([i for _, i in self.pieces])
-        self.words: dict[str, list[int]] = {}
+        self.words: dict[str, tuple[int, ...]] = {}
         #: Pairs of neighbours looked at so far, and whether they stay.
         self.pairs, self.stays = np.zeros(0, np.int64), np.zeros(0, bool)
+        #: Some of them by slot, as most lookups are of few pairs.
+        self.near, self.near_stays = np.full(1 << CACHE, -1), np.zeros(1 << CACHE, bool)
 
     def _stays(self, a: int, b: int) -> bool:
         """Whether two neighbouring pieces, merged anew, give themselves."""
@@ -84,7 +105,13 @@ class Matcher:
 
     def _all_stay(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """``_stays`` of many pairs, each different one worked out once."""
-        keys, of = np.unique(a * len(self.texts) + b, return_inverse=True)
+        keys = a * len(self.texts) + b
+        slot = (keys * SPREAD & (2**63 - 1)) >> (63 - CACHE)
+        out = self.near_stays[slot]
+        far = np.flatnonzero(self.near[slot] != keys)
+        if not len(far):
+            return out
+        keys, of = np.unique(keys[far], return_inverse=True)
         place = np.searchsorted(self.pairs, keys)
         known = np.append(self.pairs, -1)[place] == keys
         new = keys[~known]
@@ -92,14 +119,18 @@ class Matcher:
             fresh = [self._stays(*divmod(k, len(self.texts))) for k in new.tolist()]
             self.pairs, self.stays = np.insert(self.pairs, place[~known], new), np.insert(self.stays, place[~known], fresh)
             place = np.searchsorted(self.pairs, keys)
-        return self.stays[place][of]
+        out[far] = self.stays[place][of]
+        slot = slot[far]
+        slot, one = np.unique(slot, return_index=True)  # one pair for each slot
+        self.near[slot], self.near_stays[slot] = keys[of[one]], out[far[one]]
+        return out
 
     def _match(self, words: list[str]) -> None:
         """Encodes new words."""
         raw = [w.encode() for w in words]
         data = np.frombuffer(BETWEEN.join(raw) + BETWEEN * (self.width + 1), np.uint8)
         suffix = np.lib.stride_tricks.sliding_window_view(data, self.width).copy().view(f"S{self.width}").ravel()
-        order = np.argsort(suffix, kind="stable")
+        order = _in_order(suffix)
         suffix = suffix[order]
         low, high = np.searchsorted(suffix, self.low), np.searchsorted(suffix, self.high, side="right")
         n = high - low
@@ -112,8 +143,9 @@ class Matcher:
         alone = np.flatnonzero(lead)
         start, end, piece = np.append(start, alone), np.append(start + size, alone + CHAR_WIDTH[data[alone] >> 4]), np.append(piece, np.full(len(alone), -1))
         begins = np.append(0, np.cumsum([len(r) + 1 for r in raw]))
-        reach = end - begins[np.searchsorted(begins, start, side="right") - 1]  # of the edge's end in its word
-        order = np.argsort(reach * len(data) + start)
+        reach = end - np.repeat(begins[:-1], np.diff(begins))[start]  # of the edge's end in its word
+        # those of one end stay in order of size, the longest first
+        order = np.argsort(reach.astype(np.min_scalar_type(int(reach.max(initial=0)))), kind="stable")
         start, end, piece, reach = start[order], end[order], piece[order], reach[order]
         # all words at once, one end after the other; FREE: not reached, START: nothing before
         last, came = np.full(len(data) + 1, FREE), np.zeros(len(data) + 1, np.int64)
@@ -140,7 +172,7 @@ class Matcher:
         n = np.where(piece >= 0, 1, end - start)  # a character without a piece gives its bytes
         place = np.repeat(start, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         piece = np.repeat(piece, n)
-        ids = np.where(piece >= 0, piece, self.byte_ids[data[place]]).tolist()
+        ids = tuple(np.where(piece >= 0, piece, self.byte_ids[data[place]]).tolist())
         ends = np.cumsum(np.bincount(word, n, len(words)).astype(np.int64)).tolist()
         self.words.update(zip(words, (ids[a:b] for a, b in zip([0, *ends], ends, strict=False)), strict=True))
 
@@ -150,7 +182,7 @@ class Matcher:
         if len(self.pairs) > TABLE:
             self.pairs, self.stays = self.pairs[:0], self.stays[:0]
         cut = [None if t is None else WORD.findall(BLANK + t.replace(" ", BLANK)) if t else [] for t in texts]
-        new = list({w for c in cut if c for w in c}.difference(self.words))
+        new = list(set().union(*filter(None, cut)).difference(self.words))
         if new:
             self._match(new)
         return [None if c is None else list(chain.from_iterable(map(self.words.__getitem__, c))) for c in cut]

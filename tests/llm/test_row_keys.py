@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import public_tokenizers
 import sentencepiece
 import xxhash
@@ -40,3 +41,29 @@ def test_pieces_of_texts_with_nul(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
     got = {r.doc_id: list(r.ids) for r in pieces.encode(docs, path).collect()}
     assert got == {i: model.encode(t) for i, t in enumerate(texts)}
+
+
+def test_order_of_suffixes():
+    """As by whole comparison: equal heads, equal suffixes, high bytes, and suffixes shorter than a head."""
+    rng = np.random.default_rng(4)
+    for width, letters in ((4, b"ab"), (8, b"ab"), (20, b"a"), (20, b"ab\xff"), (48, bytes(range(1, 256)))):
+        data = np.frombuffer(bytes(rng.choice(list(letters), 3000).tolist()) + b"\xff" * width, np.uint8)
+        suffix = np.lib.stride_tricks.sliding_window_view(data, width).copy().view(f"S{width}").ravel()
+        assert (pieces._in_order(suffix) == np.argsort(suffix, kind="stable")).all()
+
+
+def test_pieces_in_order_of_size():
+    """Edges with one end come in the order of their pieces, the longest first."""
+    sizes = pieces.Matcher(public_tokenizers.path("piece_bpe_32k.model")).sizes
+    assert (np.diff(sizes) <= 0).all()
+
+
+def test_pairs_that_share_a_slot(monkeypatch):
+    """Whether pieces stay neighbours doesn't depend on which pairs were looked at last."""
+    monkeypatch.setattr(pieces, "CACHE", 3)
+    matcher = pieces.Matcher(public_tokenizers.path("piece_bpe_32k.model"))
+    rng = np.random.default_rng(6)
+    some = rng.choice(matcher.numbers, 40)
+    for _ in range(4):
+        a, b = rng.choice(some, 300), rng.choice(some, 300)
+        assert matcher._all_stay(a, b).tolist() == [matcher._stays(x, y) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
