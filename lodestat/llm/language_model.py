@@ -39,6 +39,8 @@ END = np.uint64(0x1234567)
 STEP = 2.0**-12
 #: Bytes of text that are turned into words at once, and that send their tokens together.
 SLICE, GROUP = 2 << 20, 8 << 20
+#: N-grams that are searched at once.
+ASKED = 1 << 17
 COUNT = np.dtype([("word", "<u8"), ("n", "<u4")])
 DOC = np.dtype([("n_tokens", "<i8"), ("n_known", "<i8"), ("base", "<f8"), ("score", "<f8")])
 #: Numbers of the start and of all words not seen in training; the others follow, frequent ones first.
@@ -351,17 +353,19 @@ def _shard_scores(order: int, tokens: int, words: int, rows: list[dict]):
         steps.append(key)
     del parts
     which, key = node.astype(np.int32), steps.pop()
-    word, context = key % width, []
+    word, context = (key % width).astype(np.int32), []
     for step in reversed(steps):
         key = step[key // width]
-        context.insert(0, key % width)
+        context.insert(0, (key % width).astype(np.int32))
+    del key, node, steps
     count = np.bincount(which[learned], minlength=len(word))
     seen = count > 0
     trie = Trie([c[seen] for c in context], word[seen], count[seen], base[word[seen]], width)
-    log_p = trie.log_p(context, word, base[word])
+    log_p = np.concatenate([trie.log_p([c[i:i + ASKED] for c in context], word[i:i + ASKED], base[word[i:i + ASKED]]).astype(np.int32)
+                            for i in range(0, len(word), ASKED)])
     row = np.repeat(np.arange(len(rows)), n)
     at = group_starts(row, text)
-    sums, cut = np.add.reduceat(log_p[which], at), np.searchsorted(row[at], np.arange(len(rows) + 1))
+    sums, cut = np.add.reduceat(log_p[which], at, dtype=np.int64), np.searchsorted(row[at], np.arange(len(rows) + 1))
     for r, i, j in zip(rows, cut[:-1], cut[1:], strict=True):
         yield r["slice"], r["train"], j - i, None, _small(np.diff(text[at[i:j]], prepend=0)), _small(sums[i:j])
 

@@ -325,6 +325,24 @@ def test_language_model_by_groups(docs, spark):
     assert twice.schema["doc_id"].dataType.simpleString() == "int" and twice.count() == 2 * len(want)
 
 
+def test_language_model_searches_in_pieces(monkeypatch):
+    """A shard's n-grams are never searched all at once."""
+    import numpy as np
+    asked, own = [], language_model.Trie.log_p
+    monkeypatch.setattr(language_model.Trie, "log_p", lambda self, c, w, b: asked.append(len(w)) or own(self, c, w, b))
+    small, n = language_model._small, 500
+    places = np.stack([np.arange(n) % 90, np.zeros(n, int), np.arange(n) % 7])
+    row = {"slice": 0, "train": 1, "n": n, "m": 90, "names": small(np.ones(90, int)), "counts": small(np.full(90, 5)),
+           "places": small(places), "docs": small(np.zeros(n, int))}
+    results = []
+    for size in (1 << 17, 100):
+        monkeypatch.setattr(language_model, "ASKED", size)
+        asked.clear()
+        results.append(list(language_model._shard_scores(3, 450, 90, [row])))
+        assert max(asked) <= size
+    assert results[0] == results[1]
+
+
 def test_registered_language_model_has_three_words(spark, tmp_path):
     from lodestat.llm import queries
     texts = [f"{a} b {c}" for a, c in [("a", "x"), ("y", "z")] * 200] + ["a b x", "a b z"]
