@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from lodestat.llm.components import components
 from lodestat.llm.repeats import with_keys
 from lodestat.llm.text import Fingerprints, buffer, by_bucket, group_starts, mix, slices, unpack, word_values
-from lodestat.sources.files import stored
+from lodestat.sources.files import bucketed, stored
 
 #: Sets from this size on are compared by cells, in classes of size of this ratio.
 CELLS_FROM, RATIO = 64, 1.5
@@ -341,6 +341,9 @@ def _checked(pairs: DataFrame, sets: DataFrame, num: int, den: int, walked: bool
     """The linked ones of pairs; a tree walk has been over the bitmaps of ``walked`` ones."""
     if not walked:
         pairs = stored(_with_sets(pairs, sets, "size", "bits").mapInArrow(_possible(num, den), "a long, b long"))
+    # whole sets are large: those of no pair stay in their buckets, unsorted. The others are dealt anew, by ``set``, so that a crowded one can be split
+    ends = pairs.select(F.bitwise_not("a").alias("place")).union(pairs.select(F.bitwise_not("b").alias("place"))).distinct()
+    sets = sets.join(ends.hint("shuffle_hash"), "place", "left_semi")
     return stored(_with_sets(pairs, sets, "hashes").select("a", "b", "hashes_a", "hashes_b").mapInArrow(_linked(num, den), "a long, b long"))
 
 
@@ -361,8 +364,8 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFr
     pairs = stored(met.where("members is null").select("a", "b").distinct())
     wanted = pairs.select("a").union(pairs.select("b")).distinct().select(F.col("a").alias("set"))
     holder = named.join(wanted, "set").groupBy("set").agg(F.min(F.struct("_doc", "_row")).alias("at")).select("set", "at.*")
-    sets = stored(keyed.join(holder, ["_doc", "_row"]).dropDuplicates(["_doc", "_row"]).select("set", "text")
-                  .mapInArrow(_fetched(k), "set long, size long, bits binary, hashes binary"))
+    sets = bucketed(keyed.join(holder, ["_doc", "_row"]).dropDuplicates(["_doc", "_row"]).select("set", "text").repartition(parts, F.bitwise_not("set"))
+                    .mapInArrow(_fetched(k), "set long, size long, bits binary, hashes binary").withColumn("place", F.bitwise_not("set")), "place", parts)
     links = _checked(pairs, sets, num, den)
     labels = components(links)
     groups = met.where("members is not null").dropDuplicates(["a"]).select(F.col("a").alias("group"), "members")

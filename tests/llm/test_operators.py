@@ -20,6 +20,7 @@ from lodestat.llm import (
     suffix_dedup,
     surrogates,
 )
+from lodestat.sources import files
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, _bucket int, label string, spans string"
@@ -152,6 +153,35 @@ def test_jaccard_join_takes_crowded_groups_in_waves(spark, monkeypatch):
     assert len(set(part)) > 1 and len(seen) > 3, "a crowded group is to be cut"
 
 
+def test_jaccard_join_moves_only_sets_of_pairs(spark, monkeypatch):
+    texts = [" ".join(f"w{i}" for i in range(a, a + 60)) for a in (0, 1, 2, 900, 1800, 2700)]
+    moved, joined = [], jaccard_join._with_sets
+
+    def with_sets(pairs, sets, *columns):
+        if "hashes" in columns:
+            moved.append((sorted({x for r in pairs.collect() for x in r}), sorted(r.set for r in sets.select("set").collect())))
+        return joined(pairs, sets, *columns)
+
+    monkeypatch.setattr(jaccard_join, "_with_sets", with_sets)
+    # one shingle in common: the sets of the last three meet others, but are too unlike to be compared whole
+    texts[3:] = [t + " w0 w1 w2 w3" for t in texts[3:]]
+    got, _ = jaccard_join.jaccard_join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), k=4, percent=85)
+    assert {r.doc_id: r.component_id for r in got.collect()} == {0: 0, 1: 0, 2: 0, 3: 3, 4: 4, 5: 5}
+    assert moved and all(a == b for a, b in moved)
+
+
+def test_bucketed_rows_stay_where_they_are(spark):
+    rows = spark.range(1000).selectExpr("id % 400 AS a", "id AS b").repartition(3, "a")
+    table = files.bucketed(rows, "a", 3)
+    assert sorted(map(tuple, table.collect())) == sorted(map(tuple, rows.collect()))
+    few = spark.range(0, 400, 7).withColumnRenamed("id", "a").repartition(2)
+    found = table.join(few.hint("shuffle_hash"), "a", "left_semi")
+    assert found.count() == rows.join(few, "a", "left_semi").count()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(a") == 1, "only the other side is shuffled"
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("lodestat_")]
+
+
 def test_packing(docs):
     path = public_tokenizers.path("byte_bpe_50k.json")
     got = packing.pack(packing.pieces(docs, path)).collect()
