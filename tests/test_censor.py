@@ -126,6 +126,17 @@ def test_replicates_reach_one_sort_by_one_shuffle(spark, monkeypatch):
     assert sum(int(r["sample"]) for r in got.collect()) == 100
 
 
+def test_replicates_with_constant_keys_are_sorted_once(spark):
+    rows = [(f"s{i % 40}" if i % 3 else None, float(i), None, 0.1) for i in range(100)]
+    df = censor.flag_censored(replicate_rows(spark, rows))
+    constant = df.withColumns({"metal_org": F.lit("Metal"), "units": F.lit("ug/L")})
+    got = censor.average_replicates(constant, ["row"])
+    assert plan_of(got).count("Sort [") == 1
+    drawn = df.withColumns({"metal_org": F.concat(F.lit("Met"), F.lower(F.lit("AL")), F.substring("date", 1, 0)), "units": F.lit("ug/L")})
+    assert got.columns[:12] == censor.REPLICATE_KEYS
+    assert sorted(map(str, got.collect())) == sorted(map(str, censor.average_replicates(drawn, ["row"]).collect()))
+
+
 def test_crowded_replicate_sets_are_combined_before_the_shuffle(spark):
     rows = [("a", float(i % 7), None, 0.1) for i in range(300)] + [(None, 2.0, None, 0.2)] * 200 + [
         ("b", 1.0, None, 1.0), ("b", 3.0, "<RDL", 1.0), ("c", None, "<MDL", 4.0)]
